@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, pii, simhash
+from quillspark.llm import bpe, chat, pii, quality, simhash, substring, toxicity, warc
 
 QUERIES = {
+    "op2_chat_perspectives": chat.op2_chat_perspectives,
+    "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_simhash": simhash.op6_simhash,
     "op7_pii": pii.op7_pii,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_quality": quality.op9_quality,
+    "op10_warc": warc.op10_warc,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_chat_perspectives": chat.ORACLE, "op10_warc": warc.ORACLE}
