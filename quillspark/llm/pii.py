@@ -39,7 +39,7 @@ SECRET_CUES = ("token", "password", "passwd", "api_key", "apikey", "secret")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://", "redis://")
 ACCOUNT = re.compile(r"(?:\s*(?:no|number|nr|num)\b\.?)?\s{0,3}[:#=]?\s{0,3}((?=[A-Z0-9-]*[0-9]{3})[A-Z0-9][A-Z0-9-]{4,22}[A-Z0-9])(?![A-Za-z0-9])")
 SECRET = re.compile(r"\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=-]{16,})")
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}")
 URL_USER = re.compile(r"[^\s/@:\"'<>]+:[^\s/@\"'<>]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
 
 
@@ -135,7 +135,7 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
         if at >= last and at >= 2 and (m := IBAN.match(text, at - 2)):
             whole, stop = m[0].replace(" ", ""), m.end()
             while len(whole) >= 15:
-                if mod97(whole):
+                if mod97(whole) and not text[stop : stop + 1].isalnum():
                     out.append(("iban", m.start(), stop))
                     last = stop
                     break
