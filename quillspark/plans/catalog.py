@@ -1,4 +1,8 @@
 """All queries of the engine outside the llm folder, with their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from quillspark.plans import documents
+
+_MODULES = (documents,)
+
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
