@@ -2,7 +2,7 @@
 
 A text's tokens are hashed in k-grams that roll along the text; of each window of consecutive k-gram
 hashes the least is kept, of ties the rightmost, with its place. Any run of window + k - 1 tokens that
-two texts share thus gives them a common entry, and none shorter than k tokens does. A text of fewer
+two texts share thus gives them a common hash, and none shorter than k tokens does. A text of fewer
 than k tokens has one k-gram of all its tokens, one of no tokens a k-gram of its trimmed characters; so
 equal texts, and they, always have equal fingerprints. Null text is the empty text.
 
@@ -21,8 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from quillspark.llm.common import table
 from quillspark.llm.tokens import let, span, tokens
 
-K = 3
+#: Tokens are words in pieces of at most PIECE characters, so that short texts have k-grams and edits inside a word stay local.
+PIECE = 3
+K = 5
 WINDOW = 8
+#: Texts of fewer k-grams keep them all, a superset of their minima, which no guarantee suffers from.
+KEEP_ALL = 64
 #: Documents in a stretch of doc_id, and the most stretches; their bounds are all the driver holds.
 STRETCH, MAX_STRETCHES = 128, 1 << 16
 #: Low bits of an entry that hold its place, from the right; the bits above hold the hash.
@@ -32,7 +36,7 @@ LAST = (1 << PLACE_BITS) - 1
 
 def kgram_hashes(text: Column, k: int = K) -> Column:
     """Hashes of the k-grams of a text's tokens, each rolled from the tokens' own hashes."""
-    hashes = F.transform(tokens(text), lambda t: F.xxhash64(t))
+    hashes = F.transform(tokens(text, PIECE), lambda t: F.xxhash64(t))
 
     def rolled(h: Column) -> Column:
         n = F.size(h)
@@ -54,8 +58,7 @@ def winnow(hashes: Column, window: int = WINDOW) -> Column:
         halves = let(e, lambda m: F.transform(span(F.size(m) - width), lambda i: F.least(F.get(m, i), F.get(m, i + width))))
         return minima(halves, 2 * width)
 
-    # fewer hashes than the window make one window of them all
-    return let(entries, lambda e: F.when(F.size(e) >= window, minima(e, 1)).when(F.size(e) > 0, F.array(F.array_min(e))).otherwise(e))
+    return let(entries, lambda e: F.when(F.size(e) >= KEEP_ALL, minima(e, 1)).otherwise(F.array_distinct(e)))
 
 
 def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:

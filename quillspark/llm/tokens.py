@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-#: A token is a run of letters and digits, of at most 16; longer runs give several tokens.
-TOKEN = r"[\p{L}\p{N}]{1,16}"
+#: A token is a run of letters and digits, of at most so many; longer runs give several tokens.
+LONGEST = 16
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -15,9 +15,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def tokens(text: Column) -> Column:
+def tokens(text: Column, longest: int = LONGEST) -> Column:
     """Lower-case tokens of a text; none for null."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"([\p{{L}}\p{{N}}]{{1,{longest}}})"), F.lit(1))
 
 
 def span(n: Column) -> Column:
