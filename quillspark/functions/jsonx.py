@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from quillspark.functions.geometry import col
 
@@ -19,7 +19,7 @@ def json_block(c: Column | str) -> Column:
     return F.regexp_replace(F.nullif(found, F.lit("")), STRAY, '"')
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strict_json(texts: pd.Series) -> pd.Series:
     """The text if it is one JSON object by the standard library's rules (last of equal keys wins, NaN allowed), rewritten; else null.
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillspark.functions import geometry
 from quillspark.functions.text import ellipsis
 from quillspark.operators import layout
+from quillspark.plans.util import columns
 
 BOXES = """
 SELECT user_id AS doc_id, event_id AS item_ix, value AS l,
@@ -24,14 +25,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    select = BOXES.replace("VARCHAR", "STRING").split("SELECT", 1)[1].rsplit("FROM", 1)[0]
-    parts, depth, start = [], 0, 0
-    for i, c in enumerate(select):
-        depth += (c == "(") - (c == ")")
-        if c == "," and not depth:
-            parts.append(select[start:i])
-            start = i + 1
-    return events(spark, sf_dir).selectExpr(*[p.strip() for p in [*parts, select[start:]]])
+    return events(spark, sf_dir).selectExpr(*columns(BOXES.split("SELECT", 1)[1].rsplit("FROM", 1)[0]))
 
 
 _SHAPE = "CASE WHEN abs(r - l) >= abs(t - b) THEN 'horizontal' ELSE 'vertical' END"
