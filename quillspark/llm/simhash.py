@@ -13,15 +13,15 @@ share a doc_id share a component. An empty table gives an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm.common import checkpoint, python_stage, table
 from quillspark.llm.components import connected_components, lookup
+from quillspark.llm.grouped import links_in_groups
+from quillspark.llm.similar import similar_links
 
 MAX_BITS = 3
 #: 8 bytes less one for each differing bit.
@@ -29,8 +29,6 @@ MIN_BYTES = 8 - MAX_BITS
 #: Positions per posting; any pair with MIN_BYTES matches shares POSTED of the first 8 - MIN_BYTES + POSTED positions.
 POSTED = 4
 BLOCK = 2048
-#: Heavy postings that may be broadcast with their counts; beyond, they are joined by a shuffle.
-MOST_BROADCAST = 100_000
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -55,9 +53,9 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def linked(x: np.ndarray) -> np.ndarray:
-    """Of exclusive-or values, those with MIN_BYTES shared bytes or more and at most MAX_BITS differing bits."""
-    x = x.view(np.uint64)  # the bit count of a signed integer is that of its absolute value
+def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of fingerprints as rows of 8 bytes, which share MIN_BYTES bytes or more and differ in at most MAX_BITS bits."""
+    x = np.ascontiguousarray(a).view(np.uint64)[:, 0] ^ np.ascontiguousarray(b).view(np.uint64)[:, 0]
     ok = np.bitwise_count(x) <= MAX_BITS
     if ok.any():
         at = np.nonzero(ok)[0]
@@ -66,82 +64,6 @@ def linked(x: np.ndarray) -> np.ndarray:
     return ok
 
 
-def forest(prints: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect just what all links among prints connect."""
-    rest, out = np.unique(prints), []
-    while len(rest) > 1:
-        stack, rest = [rest[0]], rest[1:]
-        while stack and len(rest):
-            top = stack.pop()
-            near = linked(rest ^ top)
-            if near.any():
-                found = rest[near]
-                out += [(top, f) for f in found]
-                stack += list(found)
-                rest = rest[~near]
-    return out
-
-
-def _links(batches: Iterator[pa.RecordBatch], n_keys: int, spill: int) -> Iterator[pa.RecordBatch]:
-    """Of rows (key columns, fp) sorted by key: a row (a, b, key null) for each link of a posting's forest.
-
-    Postings of over spill fingerprints pass as rows (fp, null, key), unread; at most spill rows are held.
-    """
-    out: list[tuple] = []
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("heavy", pa.int64())])
-
-    def flush() -> pa.RecordBatch:
-        arrays = [pa.array([r[i] for r in out], pa.int64()) for i in range(3)]
-        out.clear()
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-    held_key: tuple | None = None
-    held: list[np.ndarray] = []
-    size = 0
-    passing = False
-
-    def close() -> None:
-        nonlocal held, size, passing
-        if not passing and size > 1:
-            out.extend((int(a), int(b), None) for a, b in forest(np.concatenate(held)))
-        held, size, passing = [], 0, False
-
-    for batch in batches:
-        keys = [batch.column(i).to_numpy() for i in range(n_keys)]
-        prints = batch.column(n_keys).to_numpy()
-        if not len(prints):
-            continue
-        new = np.zeros(len(prints), bool)
-        for k in keys:
-            new[1:] |= k[1:] != k[:-1]
-        starts = np.concatenate([[0], np.nonzero(new)[0]])
-        ends = np.append(starts[1:], len(prints))
-        pairs = (ends - starts == 2) & (starts > 0) & (ends < len(prints))  # whole postings of two, at once
-        at = starts[pairs]
-        good = at[linked(prints[at] ^ prints[at + 1])] if len(at) else at
-        out.extend((int(prints[i]), int(prints[i + 1]), None) for i in good)
-        for s, e in zip(*(x[~pairs & ((ends - starts > 1) | (starts == 0) | (ends == len(prints)))] for x in (starts, ends)), strict=True):
-            key = tuple(int(k[s]) for k in keys)
-            if key != held_key:
-                close()
-                held_key = key
-            if not passing:
-                held.append(prints[s:e])
-                size += e - s
-                if size > spill:
-                    out.extend((int(p), None, key[0]) for h in held for p in h)
-                    held, passing = [], True
-            else:
-                out.extend((int(p), None, key[0]) for p in prints[s:e])
-            if len(out) > 50_000:
-                yield flush()
-        if len(out) > 50_000:
-            yield flush()
-    close()
-    if out:
-        yield flush()
-
-
 def postings(prints: DataFrame) -> DataFrame:
     """(key, fp) for each of the 35 choices of positions; prints has distinct fp (bigint)."""
     byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
@@ -156,29 +78,8 @@ def postings(prints: DataFrame) -> DataFrame:
 
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints (fp bigint) that connect all that lie within MAX_BITS bits."""
-    spark = prints.sparkSession
-    dealt = postings(prints).repartition("key").sortWithinPartitions("key")
-    first = checkpoint(dealt.mapInArrow(lambda it: _links(it, 1, BLOCK), "a bigint, b bigint, heavy bigint"))
-    found = first.filter("heavy is null").select("a", "b")
-    heavy = first.filter("heavy is not null").select(F.col("heavy").alias("key"), F.col("a").alias("fp"))
-    sizes = heavy.groupBy("key").agg(F.count("*").alias("n"))
-    n_heavy = sizes.count()
-    if not n_heavy:
-        return found.distinct()
-    sizes = sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    if n_heavy <= MOST_BROADCAST:
-        sizes = F.broadcast(sizes)
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")).cast("int")
-    pairs = (
-        heavy.join(sizes, "key")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    )
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pairs.repartition(n_parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    second = dealt.mapInArrow(lambda it: _links(it, 3, 1 << 62), "a bigint, b bigint, heavy bigint")
-    return found.union(second.select("a", "b")).distinct()
+    posted = postings(prints).select("key", F.col("fp").alias("node"), F.col("fp").alias("data"))
+    return links_in_groups(posted, near, 8, BLOCK)
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 3) -> DataFrame:
@@ -186,13 +87,24 @@ def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 3) -> Dat
     return python_stage(docs, [text_col], "fp bigint", lambda t: (signed(fingerprint(t, words)),))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest id reachable over links."""
-    prints = checkpoint(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", words).select("doc_id", "fp"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, similar: bool = False) -> DataFrame:
+    """(doc_id, fp, component_id) of every row; component_id is the smallest id reachable over links.
+
+    Links are those of fingerprints and, on request, those of documents whose five-word shingles are alike by 0.8 or more.
+    """
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    prints = checkpoint(fingerprints(named, "text", words).select("doc_id", "fp"))
     total = prints.count()
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    edges = links(distinct.select("fp"))
+    if similar:
+        # documents become the fingerprints they have, so that both kinds of link join the same nodes
+        more = similar_links(named)
+        of = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("fp"))
+        more = more.join(of.select(F.col("doc_id").alias("a"), F.col("fp").alias("x")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("fp").alias("y")), "b")
+        edges = edges.union(more.select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct()
     # representatives are integers of their own, so components are those of fingerprints and the least id is taken after
-    label = connected_components(links(distinct.select("fp"))).withColumnsRenamed({"node": "fp", "component": "label"})
+    label = connected_components(edges).withColumnsRenamed({"node": "fp", "component": "label"})
     labelled = distinct.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     joint = label.select("label").distinct()
     least = labelled.join(joint, "label", "left_semi").groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("n"))
@@ -200,9 +112,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return lookup(prints, "fp", grouped, total, "doc_id").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 3, similar: bool = True) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id; of rows that share a doc_id one stays, and rows without one all stay."""
-    found = near_duplicates(docs.select("doc_id", "text").filter("doc_id is not null"), words=words)
+    found = near_duplicates(docs.select("doc_id", "text").filter("doc_id is not null"), words=words, similar=similar)
     gone = found.filter("component_id < doc_id").select("doc_id").distinct()
     kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).union(docs.filter("doc_id is null"))
