@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillspark.llm.common import checkpoint, python_stage, table
 from quillspark.llm.components import connected_components, lookup
 from quillspark.llm.grouped import links_in_groups
-from quillspark.llm.similar import similar_links
+from quillspark.llm.similar import signatures, similar_links
 
 MAX_BITS = 3
 #: 8 bytes less one for each differing bit.
@@ -93,23 +93,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Links are those of fingerprints and, on request, those of documents whose five-word shingles are alike by 0.8 or more.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    prints = checkpoint(fingerprints(named, "text", words).select("doc_id", "fp"))
+    prints = fingerprints(named, "text", words)
+    if similar:
+        prints = signatures(prints)
+    prints = checkpoint(prints.drop("text"))
     total = prints.count()
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     edges = links(distinct.select("fp"))
     if similar:
-        # documents become the fingerprints they have, so that both kinds of link join the same nodes
-        more = similar_links(named)
-        of = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("fp"))
-        more = more.join(of.select(F.col("doc_id").alias("a"), F.col("fp").alias("x")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("fp").alias("y")), "b")
-        edges = edges.union(more.select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct()
+        edges = edges.union(similar_links(prints)).distinct()
     # representatives are integers of their own, so components are those of fingerprints and the least id is taken after
     label = connected_components(edges).withColumnsRenamed({"node": "fp", "component": "label"})
     labelled = distinct.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     joint = label.select("label").distinct()
     least = labelled.join(joint, "label", "left_semi").groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("n"))
     grouped = lookup(labelled, "label", least, max(1, total), "fp").select("fp", "n", F.coalesce("least", "rep").alias("component_id"))
-    return lookup(prints, "fp", grouped, total, "doc_id").select("doc_id", "fp", "component_id")
+    return lookup(prints.select("doc_id", "fp"), "fp", grouped, total, "doc_id").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3, similar: bool = True) -> DataFrame:

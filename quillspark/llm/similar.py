@@ -3,7 +3,7 @@
 Fingerprints of 64 bits that differ in 3 mark documents alike by well over 0.95; at 0.8 they differ in
 some ten bits, and no index of byte positions guarantees a match. So candidates are found by MinHash
 bands (a pair at the threshold shares one of 24 with probability over 0.998) and verified by the share
-of equal values among 256 MinHash values of 16 bits. Copies of one shingle set count once.
+of equal values among 256 MinHash values of 8 bits. Copies of one shingle set count once.
 
 Words are separated by ASCII white space, A-Z in lower case; a text of fewer than five words is one shingle, and
 of no words none, which is similar to nothing. Null texts are empty.
@@ -45,24 +45,28 @@ def signature(text: str | None) -> tuple[int | None, list[int], bytes]:
     whole = xxhash.xxh3_64_intdigest(hashes.tobytes())
     bands = [xxhash.xxh3_64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
     as_long = lambda x: x - (1 << 64) if x >> 63 else x
-    return as_long(whole), [as_long(b) for b in bands], (least >> np.uint64(48)).astype("<u2").tobytes()
+    return as_long(whole), [as_long(b) for b in bands], (least >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    same = (np.ascontiguousarray(a).view(np.uint16) == np.ascontiguousarray(b).view(np.uint16)).mean(axis=1)
-    return same >= SIMILARITY - SLACK
+    return (a == b).mean(axis=1) >= SIMILARITY - SLACK
 
 
-def similar_links(docs: DataFrame) -> DataFrame:
-    """(a, b): links of doc_id that connect all documents of docs (doc_id, text) that are similar or have equal shingle sets."""
-    rows = python_stage(docs.select("doc_id", "text"), ["text"], "set_id bigint, bands array<bigint>, data binary", signature)
-    rows = checkpoint(rows.select("doc_id", "set_id", "bands", "data").filter("set_id is not null"))
-    sets = rows.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    # each distinct set once, by the row of its smallest doc_id; equal rows of it meet in the groups
-    one = rows.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    banded = one.select("set_id", "data", F.explode("bands").alias("key"))
-    met = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    found = links_in_groups(banded.join(met, "key", "left_semi").select("key", F.col("set_id").alias("node"), "data"), near, 2 * VALUES, 1024)
-    reps = checkpoint(sets)
-    named = found.join(reps.select(F.col("set_id").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("set_id").alias("b"), F.col("rep").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return named
+def signatures(docs: DataFrame) -> DataFrame:
+    """docs (text, ...) with set_id, bands and data."""
+    return python_stage(docs, ["text"], "set_id bigint, bands array<bigint>, data binary", signature)
+
+
+def similar_links(rows: DataFrame) -> DataFrame:
+    """(a, b): links between the fp of rows (doc_id, fp, set_id, bands, data) that connect similar documents and those of equal shingle sets."""
+    sets = checkpoint(rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("low")))
+    # bands travel without their data: a key that two sets share is rare, and only its rows are given theirs
+    banded = rows.select("set_id", F.explode("bands").alias("key"))
+    met = banded.groupBy("key").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).filter("least < most").select("key")
+    members = banded.join(met, "key", "left_semi").distinct()
+    known = members.join(sets.select("set_id", "rep"), "set_id").join(rows.select(F.col("doc_id").alias("rep"), F.col("set_id").alias("own"), "data"), "rep").filter("set_id = own")
+    found = links_in_groups(known.select("key", F.col("set_id").alias("node"), "data"), near, VALUES, 1024)
+    low = lambda end, name: sets.select(F.col("set_id").alias(end), F.col("low").alias(name))
+    alike = found.join(low("a", "x"), "a").join(low("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    equal = rows.select("set_id", "fp").distinct().join(sets.select("set_id", "low"), "set_id").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    return alike.union(equal.filter("a <> b"))

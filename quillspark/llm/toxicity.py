@@ -37,17 +37,17 @@ HOMOGLYPHS = {
 }
 FOLD = {ord(look): plain for plain, looks in HOMOGLYPHS.items() for look in looks} | dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
-#: A sign between letters, or before two of them at a word's start.
-SIGN = re.compile(r"(?<=[^\W\d_])[013457 8@$](?=[^\W\d_])|(?<![\w@$])[013457 8@$](?=[^\W\d_]{2})".replace(" ", ""))
-HAS_SIGN = re.compile(r"[0134578@$][^\W\d_]")
+#: A word with a sign before a letter; signs at its end are not part of it.
+SIGNED = re.compile(r"(?<![^\W_@$])(?=[^\W\d_]*[\d@$]+[^\W\d_])[@$\d]*[^\W_]+(?:[@$]+[^\W_]+)*")
+HAS_SIGN = re.compile(r"[\d@$][^\W\d_]")
+PLAIN = str.maketrans(SIGNS)
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
     low = (text or "").lower().translate(FOLD)
     if HAS_SIGN.search(low):
-        for _ in range(3):  # neighbouring signs become letters one after the other
-            low = SIGN.sub(lambda m: SIGNS[m[0]], low)
+        low = SIGNED.sub(lambda m: m[0].translate(PLAIN), low)
     return WORD.findall(low)
 
 

@@ -126,5 +126,11 @@ def test_drop_keeps_one_of_near_copies(spark):
     assert sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 0, 3, 9]
 
 
+def test_equal_shingle_sets_are_linked(spark):
+    rows = [(1, "a b c d e f g a b c d e f g a b c d e"), (2, "a b c d e f g a b c d e f g a b c d e f g a b c d e"), (3, "q r s t u v w")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame(spark, rows), similar=True).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_forest_of_one_node():
     assert grouped.forest(np.array([4, 4]), np.zeros((2, 8), np.uint8), simhash.near) == []
