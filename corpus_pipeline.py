@@ -12,10 +12,15 @@ from quillspark.llm import bpe, decontaminate, pii, quality, simhash
 from quillspark.llm.common import shared_dir, table
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """The text and the whole row beside it, so that no column of documents clashes with one of an operator."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs.drop("score"), model).filter(F.col("score") >= quality.ACCEPT).select(*docs.columns)
+    return quality.score(_carried(docs), model).filter(F.col("score") >= quality.ACCEPT).select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +35,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; n_chars follows the text."""
-    found = pii.find_pii(docs, redact=True)
-    changed = F.size("pii") > 0
-    return found.withColumns({"n_chars": F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars")), "text": F.col("redacted")}).select(*docs.columns)
+    found = pii.find_pii(_carried(docs), redact=True)
+    new = {"text": F.col("redacted"), "n_chars": F.when(F.size("pii") > 0, F.length("redacted").cast("long")).otherwise(F.col("row.n_chars"))}
+    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

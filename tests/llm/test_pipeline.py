@@ -34,6 +34,7 @@ def test_edges(spark, tmp_path):
     rows = [(k, t, "en", "s", len(t or ""), "x") for k, t in EDGES]
     sf = tables(spark, tmp_path, documents=frame(spark, rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, score string"), labels=frame(spark, [], "doc_id bigint, quality int, toxic int"), benchmark=frame(spark, [], "item_id bigint, text string"))
     got = corpus_pipeline.run(spark, sf).collect()
+    assert {r["score"] for r in got} == {"x"}
     assert sorted(r["doc_id"] or 0 for r in got) == [0, 1, 4, 5, 6, 8]
 
 
