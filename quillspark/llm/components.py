@@ -15,7 +15,8 @@ def lookup(rows: DataFrame, key: str, values: DataFrame, total: int, spread: str
     """
     names = [c for c in values.columns if c not in (key, "n")]
     hot = hot_keys(values, total).select(key, *[F.col(c).alias(f"__hot_{c}") for c in names], F.lit(True).alias("__hot"))
-    rest = values.select(F.col(key).alias("__key"), *names, F.lit(0).alias("__salt_of"))
+    # always 0, but no constant: the optimizer would take a constant out of the join's keys, and hot rows would meet again
+    rest = values.select(F.col(key).alias("__key"), *names, F.pmod(F.xxhash64(key), F.lit(1)).cast("int").alias("__salt_of"))
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(F.col("__hot"), 1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")).otherwise(0))
     out = dealt.join(rest, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__salt_of")), "left")
     return out.select(*rows.columns, *[F.coalesce(F.col(f"__hot_{c}"), F.col(c)).alias(c) for c in names])
