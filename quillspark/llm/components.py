@@ -22,14 +22,14 @@ def lookup(rows: DataFrame, key: str, values: DataFrame, total: int, spread: str
     return out.select(*rows.columns, *[F.coalesce(F.col(f"__hot_{c}"), F.col(c)).alias(c) for c in names])
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step on edges (a > b)."""
+def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
+    """One large-star or small-star step on edges (a > b), of which there are about most."""
     if large:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-    joined = lookup(near, "u", least, max(1, near.count()), "v")
+    joined = lookup(near, "u", least, most * (1 + large), "v")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -49,7 +49,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state[0] == 0 or state == before:
             break
         before = state
-        now = checkpoint(_star(_star(now, True), False))
+        now = checkpoint(_star(_star(now, True, state[0]), False, state[0]))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
