@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.operators import catalogs, rules
+from quillspark.operators import answers, catalogs, rules
 from quillspark.plans.util import columns
 
 CONCEPT = "concat('CT', lpad(CAST(o_orderkey % 39 + 1 AS VARCHAR), 3, '0'))"
@@ -111,7 +111,19 @@ def answer_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", rules.option_check(F.col("options"), centers, "codigo").alias("fault"), center.alias("center"), "macro", rules.macro_allowed(F.col("macro"), center).alias("macro_allowed"))
 
 
+def invoice_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoice answers with planted faults: rules broken, keys missing and keys that no one asked for."""
+    given = """named_struct('comprobante_valido', o_orderkey % 4 > 0, 'tipo_comprobante', CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE '090' END, 'cuit_emisor', CASE WHEN o_orderkey % 5 = 0 THEN '20-1 Ing' ELSE '20-1' END,
+        'subtotal', CAST(o_custkey AS INT), 'iva', CAST(o_orderkey % 2 AS INT), 'importe_total_facturado', CAST(o_custkey + o_orderkey % 2 AS INT), 'condicion_impositiva_dominante', CASE WHEN o_orderkey % 6 < 2 THEN '21' END,
+        'categoria_gasto', CASE o_custkey % 3 WHEN 0 THEN 'Restaurante' WHEN 1 THEN 'Combustible' END, 'cantidad_comensales_personas', CASE WHEN o_orderkey % 7 = 0 THEN 4 END, 'cantidad_litros', CASE WHEN o_orderkey % 8 = 0 THEN 9.5D END,
+        'centro_de_costo', CASE WHEN o_orderkey % 9 = 0 THEN 'CC0001' END, 'raro', CASE WHEN o_orderkey % 10 = 0 THEN 'x' END)"""
+    docs = orders(spark, sf_dir).selectExpr("o_orderkey AS doc_id", f"CASE WHEN o_orderkey % 50 = 49 THEN 'no object' ELSE to_json({given}) END AS response")
+    got = answers.check_invoices(docs)
+    return got.select("doc_id", F.size("missing").cast("long").alias("n_missing"), F.array_join("extra", ",").alias("extra"), F.array_join("faults", ",").alias("faults"), F.col("answer.subtotal").alias("subtotal"))
+
+
 QUERIES = {
+    "invoice_answers": invoice_answers,
     "final_code_lookup": final_code_lookup,
     "catalog_cells": catalog_cells,
     "voucher_letter": voucher_letter,
@@ -131,6 +143,11 @@ _EXPECTED = """CASE WHEN {m} exported THEN 'E' WHEN emitter IN ('Monotributo', '
 _COUNTS = ", ".join(f"('{c}', '{k}')" for c, k in KEYWORDS)
 
 ORACLE_SQL = {
+    "invoice_answers": """WITH a AS (SELECT o_orderkey AS k, o_orderkey % 50 = 49 AS none, o_orderkey % 3 = 0 AS is_a, o_orderkey % 2 AS vat, o_orderkey % 6 < 2 AS rate, o_custkey % 3 AS c, o_custkey FROM orders),
+      f AS (SELECT *, list_filter([CASE WHEN NOT is_a AND vat <> 0 THEN 'subtotal' END, CASE WHEN NOT is_a AND vat <> 0 THEN 'iva' END, CASE WHEN NOT is_a AND rate THEN 'condicion_impositiva' END, CASE WHEN rate THEN 'alicuotas' END,
+          CASE WHEN k % 7 = 0 AND c <> 0 THEN 'personas' END, CASE WHEN k % 8 = 0 AND c <> 1 THEN 'litros' END, CASE WHEN k % 9 = 0 THEN 'centro_de_costo' END, CASE WHEN k % 4 = 0 THEN 'motivo_rechazo' END, CASE WHEN k % 5 = 0 THEN 'cuit' END], lambda x: x IS NOT NULL) AS broken FROM a)
+      SELECT k AS doc_id, CASE WHEN none THEN 23 ELSE CAST(23 - 6 - CAST(rate AS INT) - CAST(c < 2 AS INT) - CAST(k % 7 = 0 AS INT) - CAST(k % 8 = 0 AS INT) - CAST(k % 9 = 0 AS INT) AS BIGINT) END AS n_missing,
+        CASE WHEN k % 10 = 0 AND NOT none THEN 'raro' ELSE '' END AS extra, CASE WHEN NOT none THEN coalesce(array_to_string(broken, ','), '') END AS faults, CASE WHEN NOT none THEN CAST(o_custkey AS DECIMAL(18,2)) END AS subtotal FROM f""",
     "final_code_lookup": f"""WITH d AS (SELECT o_orderkey AS doc_id, {CONCEPT} AS concept, {CONDITION} AS tax_condition FROM orders)
       SELECT doc_id, concept, tax_condition, macro_category, concept_name, account, {_CODE} FROM d LEFT JOIN {_KNOWN} k USING (concept) LEFT JOIN {_CELLS} c USING (concept, tax_condition)""",
     "catalog_cells": f"SELECT concept, tax_condition, macro_category, account, {_CODE} FROM {_CELLS} c JOIN {_KNOWN} k USING (concept)",

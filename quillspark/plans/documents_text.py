@@ -203,7 +203,16 @@ def result_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("doc_id", F.concat(F.lit('{"archivo":"'), F.col("doc_id").cast("string"), F.lit('.md","extracciones":{'), entry(True), F.lit("}"), errors, F.lit("}")).alias("json"))
 
 
-QUERIES = {f.__name__: f for f in (text_normalise, product_lists, json_recovery, template_fill, chat_history, file_listing, sidecar_names, modality_routing, mode_prompts, tax_request, step_fanout, resume_antijoin, current_results, step_prerequisites, error_maps, status_summary, result_export)}
+def map_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved state over defaults, key by key."""
+    c = read(spark, sf_dir, "customer")
+    default = F.create_map(F.lit("moneda"), F.lit("ARS"), F.lit("segmento"), F.col("c_mktsegment"))
+    saved = F.when(F.col("c_custkey") % 3 > 0, F.create_map(F.lit("moneda"), F.lit("USD"), F.lit("nota"), F.col("c_custkey").cast("string")))
+    entries = F.array_sort(F.map_entries(state.overlay(saved, default)))
+    return c.select(F.col("c_custkey").alias("doc_id"), F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("state"), state.input_hash("c_name", "c_mktsegment").alias("input_hash"))
+
+
+QUERIES = {f.__name__: f for f in (text_normalise, product_lists, json_recovery, template_fill, chat_history, file_listing, sidecar_names, modality_routing, mode_prompts, tax_request, step_fanout, resume_antijoin, current_results, step_prerequisites, error_maps, status_summary, result_export, map_overlay)}
 
 _PATHS = """WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') ||
     CASE WHEN page_id % 9 = 0 THEN '.Jpg' WHEN page_id % 4 = 0 THEN '.pdf' WHEN page_id % 4 = 1 THEN '.PNG' WHEN page_id % 4 = 2 THEN '.md' ELSE '' END AS path FROM pages),
@@ -248,6 +257,8 @@ ORACLE_SQL = {
       e AS (SELECT *, CASE WHEN cuit_emisor = 0 OR importe = 0 OR cae IS NULL THEN 'faltan datos' WHEN kind IS NULL THEN 'tipo invalido' WHEN point IS NULL OR number IS NULL THEN 'numero invalido' WHEN day IS NULL THEN 'fecha invalida' END AS error FROM k)
       SELECT doc_id, error, CASE WHEN error IS NULL THEN cuit_emisor END AS "CuitEmisor", CASE WHEN error IS NULL THEN point END AS "PtoVta", CASE WHEN error IS NULL THEN kind END AS "CbteTipo", CASE WHEN error IS NULL THEN number END AS "CbteNro",
         CASE WHEN error IS NULL THEN day END AS "CbteFch", CASE WHEN error IS NULL THEN importe END AS "ImpTotal", CASE WHEN error IS NULL THEN cae END AS "CodAutorizacion" FROM e""",
+    "map_overlay": """SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 > 0 THEN 'moneda=USD;nota=' || c_custkey || ';segmento=' || c_mktsegment ELSE 'moneda=ARS;segmento=' || c_mktsegment END AS state,
+        sha256(c_name || chr(31) || c_mktsegment) AS input_hash FROM customer""",
     "step_fanout": f"SELECT doc_id, lang, step FROM documents, (VALUES ('{STEPS[0]}'), ('{STEPS[1]}')) AS y(step)",
     "resume_antijoin": _RESULTS + f"SELECT d.doc_id, y.step FROM documents d, (VALUES ('{STEPS[0]}'), ('{STEPS[1]}')) AS y(step) WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = d.doc_id AND r.step = y.step AND ok)",
     "current_results": _RESULTS + "SELECT doc_id, family, step, response, error FROM c",
