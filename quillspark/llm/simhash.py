@@ -7,8 +7,9 @@ the guaranteed minimum of 5 go, and the rest is verified bit by bit. Only distin
 posted, so copies cost nothing, and a posting yields a spanning forest of its links, never all pairs.
 Postings of more than BLOCK fingerprints are dealt out as pairs of blocks.
 
-Null text is the empty text. Texts of no words have fingerprint zero and link like any other. Rows that
-share a doc_id share a component. An empty table gives an empty one.
+Null text is the empty text. Texts of no words have fingerprint zero and link like any other. Each row is a
+node by its own text, also where rows share a doc_id; rows without one link, but never name a component that
+has a doc_id. An empty table gives an empty one.
 """
 
 from __future__ import annotations
