@@ -45,7 +45,9 @@ def signature(text: str | None) -> tuple[int | None, list[int], bytes]:
     whole = xxhash.xxh3_64_intdigest(hashes.tobytes())
     bands = [xxhash.xxh3_64_intdigest(least[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)]
     as_long = lambda x: x - (1 << 64) if x >> 63 else x
-    return as_long(whole), [as_long(b) for b in bands], (least >> np.uint64(56)).astype(np.uint8).tobytes()
+    # least values begin with zeros, so eight bits of each must come from all of it
+    kept = (((least ^ (least >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(56)).astype(np.uint8)
+    return as_long(whole), [as_long(b) for b in bands], kept.tobytes()
 
 
 def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
