@@ -30,7 +30,7 @@ def test_held_out_accuracy(spark, query, label, mod, rest, least):
 
 
 @pytest.mark.parametrize("query", [quality.op9_quality, toxicity.op8_toxicity])
-@pytest.mark.parametrize("labels", [[], [(4, 1, 1), (6, 1, 1)], [(4, None, None)], [(i, i % 2, i % 2) for i in range(1, 9)]])
+@pytest.mark.parametrize("labels", [[], [(4, 1, 1), (6, 1, 1), (5, None, None)], [(i, i % 2, i % 2) for i in range(1, 9)]])
 def test_edges(spark, tmp_path, query, labels):
     got = query(spark, tables(spark, tmp_path, documents=frame(spark, [(*r, "x") for r in EDGES], "doc_id bigint, text string, score string"), labels=frame(spark, labels, LABELS))).collect()
     assert len(got) == len(EDGES) and all(0 <= r["score"] <= 1 for r in got)
