@@ -57,6 +57,16 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
     return df.withColumn("n_tokens", (F.length("ids") / 4).cast("long"))
 
 
+def encode_checked(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """encode() with round_trip: whether the ids decode to the bytes of the text. One pass, so the decoded bytes never leave it."""
+
+    def one(text: str | None) -> tuple:
+        ids = encode_text(text, rank_file, pattern)
+        return ids, decode_ids(ids, rank_file, pattern) == (text or "").encode("utf-8", "replace")
+
+    return python_stage(docs, [text_col], "ids binary, round_trip boolean", one).withColumn("n_tokens", (F.length("ids") / 4).cast("long"))
+
+
 def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """df with decoded (binary): the raw bytes of its ids."""
     return python_stage(df, [ids_col], "decoded binary", lambda b: (decode_ids(b, rank_file, pattern),))

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 #: Rows a group may hold before it counts as hot, as a share of all rows: at most 1 / HOT_SHARE keys can pass it, so a table of hot keys has a proven bound.
 HOT_SHARE = 1 / 2000
 #: Rows of text that one Arrow batch of a Python stage may return, by characters.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 2_000_000
+#: Most rows and bytes of an Arrow batch that Spark hands to a Python stage of texts.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,8 @@ def python_stage(df: DataFrame, inputs: list[str], outputs: str, fn: Callable[..
 
     Other columns pass through unread. A column of df that has the name of an output is replaced.
     """
+    for key, value in ARROW.items():  # both sides of the pipe hold whole batches, so these bound memory
+        df.sparkSession.conf.set(key, value)
     out = T._parse_datatype_string(outputs)
     kept = [c for c in df.columns if c not in out.names]
     hidden = [f"__in{i}" for i in range(len(inputs))]
