@@ -6,7 +6,8 @@ two texts share thus gives them a common hash, and none shorter than k tokens do
 than k tokens has one k-gram of all its tokens, one of no tokens a k-gram of its trimmed characters; so
 equal texts, and they, always have equal fingerprints. Null text is the empty text.
 
-Likeness is 2 |A and B| / (|A| + |B|) over the distinct hashes of two fingerprints, 1 for two empty ones.
+Likeness is 2 |A and B| / (|A| + |B|) over the distinct hashes of two texts, 1 for two empty ones. Both are taken
+by the same rule: all k-grams where both texts are under KEEP_ALL, else the window minima of both.
 
 next_document() hands each document its successor by descending doc_id without gathering the table: the
 documents are cut at quantiles of doc_id, one shuffle deals them to those stretches, and the document at
@@ -50,15 +51,23 @@ def kgram_hashes(text: Column, k: int = K) -> Column:
 def winnow(hashes: Column, window: int = WINDOW) -> Column:
     """The distinct minima of all windows as entries: hash bits above, place from the right below, so that the least
     entry of a window is that of its least hash and, of ties, of the rightmost. window is a power of two."""
-    entries = F.transform(hashes, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, PLACE_BITS + 1), PLACE_BITS).bitwiseOR((F.lit(LAST) - F.pmod(i, F.lit(LAST))).cast("long")))
+    return let(_entries(hashes), lambda e: F.when(F.size(e) >= KEEP_ALL, _minima(e, window)).otherwise(F.array_distinct(e)))
 
-    def minima(e: Column, width: int) -> Column:
+
+def _entries(hashes: Column) -> Column:
+    return F.transform(hashes, lambda h, i: F.shiftleft(F.shiftrightunsigned(h, PLACE_BITS + 1), PLACE_BITS).bitwiseOR((F.lit(LAST) - F.pmod(i, F.lit(LAST))).cast("long")))
+
+
+def _minima(entries: Column, window: int) -> Column:
+    """The distinct least entries of all windows; fewer entries than a window are one window."""
+
+    def halved(e: Column, width: int) -> Column:
         if width == window:
             return F.array_distinct(e)
         halves = let(e, lambda m: F.transform(span(F.size(m) - width), lambda i: F.least(F.get(m, i), F.get(m, i + width))))
-        return minima(halves, 2 * width)
+        return halved(halves, 2 * width)
 
-    return let(entries, lambda e: F.when(F.size(e) >= KEEP_ALL, minima(e, 1)).otherwise(F.array_distinct(e)))
+    return F.when(F.size(entries) >= window, halved(entries, 1)).when(F.size(entries) > 0, F.array(F.array_min(entries))).otherwise(entries)
 
 
 def fingerprint(text: Column, k: int = K, window: int = WINDOW) -> Column:
@@ -82,6 +91,23 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total > 0, 2.0 * both / total).otherwise(1.0)
 
 
+def compared(text: Column, k: int = K, window: int = WINDOW) -> Column:
+    """(print, every, least) of a text: its fingerprint, the distinct hashes of all its k-grams if it is under KEEP_ALL (else null) and those of its window minima."""
+
+    def parts(print_: Column, n: Column) -> Column:
+        short = n < KEEP_ALL
+        least = F.when(short, _minima(print_, window)).otherwise(print_)
+        return F.struct(print_.alias("print"), F.when(short, hashes_of(print_)).alias("every"), hashes_of(least).alias("least"))
+
+    return let(kgram_hashes(text, k), lambda h: let(winnow(h, window), lambda p: parts(p, F.size(h))))
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Likeness of two compared() texts by the same selection of k-grams; null if either is."""
+    same = F.when(a["every"].isNotNull() & b["every"].isNotNull(), likeness(a["every"], b["every"])).otherwise(likeness(a["least"], b["least"]))
+    return F.when(a.isNotNull() & b.isNotNull(), same)
+
+
 def next_document(docs: DataFrame, carried: list[str]) -> DataFrame:
     """docs (doc_id and more) with __next, the structure of the carried columns of the next row by descending doc_id; the last row's is the first row."""
     spark = docs.sparkSession
@@ -117,8 +143,8 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     change = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - change), F.substring(F.col("__next.text"), F.lit(1), change))
-    prints = led.select("doc_id", "__at", "__guest", n.cast("long").alias("n_chars"), edited.alias("edited"), fingerprint(F.col("text")).alias("own"))
-    prints = prints.withColumns({"hashes": hashes_of(F.col("own")), "other": F.when(F.col("__guest") == 0, fingerprint(F.col("edited")))})
+    prints = led.select("doc_id", "__at", "__guest", n.cast("long").alias("n_chars"), edited.alias("edited"), compared(F.col("text")).alias("own"))
+    prints = prints.withColumns({"hashes": F.struct("own.every", "own.least"), "other": F.when(F.col("__guest") == 0, compared(F.col("edited")))})
     # the same stretches in the same order: no further shuffle
     order = Window.partitionBy("__at").orderBy("__guest", F.desc_nulls_last("doc_id"))
     both = prints.withColumn("next_hashes", F.lead("hashes").over(order)).filter("__guest = 0")
@@ -126,8 +152,8 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        written(F.col("own")).alias("fingerprint"),
-        written(F.col("other")).alias("edited_fingerprint"),
-        likeness(F.col("hashes"), hashes_of(F.col("other"))).alias("near_edited"),
-        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+        written(F.col("own.print")).alias("fingerprint"),
+        written(F.col("other.print")).alias("edited_fingerprint"),
+        alike(F.col("own"), F.col("other")).alias("near_edited"),
+        alike(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
     )

@@ -40,6 +40,19 @@ def test_shared_runs_share_a_hash(spark):
     assert got[1] & got[2] and not got[1] & got[3]
 
 
+def test_texts_on_either_side_of_keep_all_compare(spark, tmp_path):
+    long_ = next(t for n in range(20, 80) if len(re.findall(r"[^ ]{1,3}", t := words("k", n))) >= fingerprint.KEEP_ALL + fingerprint.K - 1)
+    short = long_.rsplit(" ", 1)[0]
+    assert len(re.findall(r"[^ ]{1,3}", short)) < fingerprint.KEEP_ALL + fingerprint.K - 1
+    rows = [(2, long_), (1, short)]
+    got = fingerprint.op3_fingerprints(spark, tables(spark, tmp_path, documents=frame(spark, rows))).collect()
+    assert all(r["near_next"] > 0.85 for r in got)
+    cut = {r["doc_id"]: [int(e.split("@")[0], 16) for e in r["fingerprint"].split(",")] for r in got}
+    least = {min(cut[1][i : i + fingerprint.WINDOW]) for i in range(len(cut[1]) - fingerprint.WINDOW + 1)}
+    want = 2 * len(least & set(cut[2])) / (len(least) + len(set(cut[2])))
+    assert all(abs(r["near_next"] - want) < 1e-12 for r in got)
+
+
 def plain_query(rows):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     out = []
