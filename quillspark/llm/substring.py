@@ -1,11 +1,12 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
 A text's UTF-8 bytes are cut where the gear hash of the last 32 bytes has CUT_BITS zero bits, at least
-MIN_BYTES after the last cut, at code point boundaries; so an insertion moves only the cuts beside it.
+MIN_BYTES after the last cut, at code point boundaries; so an insertion moves only the cuts beside it. Where
+FALLBACK bytes have no such hash, as in periodic text, a place whose hash is the least of them is cut too.
+
 Chunks with equal digests are copies: the first document (smallest doc_id) keeps them, later ones lose
-them, and within a document the first place keeps them. Copied chunks count where they stand in a run
-of at least min_run bytes without a gap, which a repeated passage of 50 words gives and a stock line
-does not. A chunk shared by any number of documents is aggregated to its first document before it is
+them, and within a document the first place keeps them. A run of copied chunks is extended to both sides as far
+as its text equals its owners', at least REACH - NEAR characters a side; it counts from min_run characters on. A passage that holds no whole chunk is not found. A chunk shared by any number of documents is aggregated to its first document before it is
 joined back, and a hot chunk is joined by broadcast.
 
 Null text is the empty text: no chunks. Rows that share a doc_id are one document: a chunk that both
@@ -14,6 +15,7 @@ hold has one owner, so neither loses it to the other. Rows without doc_id take n
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +29,11 @@ CUT_BITS = 5
 MIN_BYTES = 16
 MAX_BYTES = 512
 MIN_RUN = 100
+#: Bytes without a cut after which the least hash of as many is one.
+FALLBACK = 64
+#: A run is extended from a chunk within NEAR characters of its edge, of those with the smallest owner the outermost,
+#: over at most REACH characters. Chunks of equal texts meet again within a few cuts, so more is seldom equal.
+NEAR, REACH = 150, 400
 #: Texts are chunked in stretches of so many bytes, which bounds memory; cuts don't depend on it.
 STRETCH = 1 << 22
 
@@ -58,9 +65,15 @@ def cuts(data: np.ndarray) -> list[int]:
     """Ends of the chunks of data (uint8), the last one its length."""
     places = []
     for at in range(0, len(data), STRETCH):
-        low = max(0, at - 31)
-        hashes = gear_hashes(data[low : at + STRETCH])[at - low :]
-        places.append(np.nonzero((hashes >> np.uint32(32 - CUT_BITS)) == 0)[0] + at + 1)
+        low = max(0, at - 31 - FALLBACK)
+        hashes = gear_hashes(data[low : at + STRETCH])
+        least = hashes.copy()
+        for step in (1, 2, 4, 8, 16, 32):
+            least[step:] = np.minimum(least[step:], least[:-step].copy())
+        wanted = hashes == least
+        wanted[: 31 + FALLBACK] = False  # no full window yet; in later stretches these lie before it
+        wanted |= (hashes >> np.uint32(32 - CUT_BITS)) == 0
+        places.append(np.nonzero(wanted[at - low :])[0] + at + 1)
     wanted = np.concatenate(places) if places else np.zeros(0, np.int64)
     if len(wanted):
         # a cut inside a code point moves to its end
@@ -125,6 +138,59 @@ def chunks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, ix int, start int, end int, digest bigint, again boolean")
 
 
+def common(a: str | None, b: str | None, side: int) -> int:
+    """Characters that a and b share at their beginnings (side 1) or ends (side 0)."""
+    if not a or not b:
+        return 0
+    return len(os.path.commonprefix([a, b] if side else [a[::-1], b[::-1]]))
+
+
+def beside(text: str | None, wanted: list) -> list[tuple[int, int, int, int, str]]:
+    """(start, digest, side, end, text beside it) of those wanted chunks (start, digest, side) that text holds; of start -1, the first of that digest."""
+    digest, start, end = chunk_text(text)
+    firsts = dict(zip(digest[::-1].tolist(), range(len(digest) - 1, -1, -1), strict=True))
+    out = []
+    for w in wanted:
+        i = firsts.get(w["digest"], len(start)) if w["start"] < 0 else int(np.searchsorted(start, w["start"]))
+        if i < len(start) and w["start"] in (-1, start[i]) and digest[i] == w["digest"]:
+            part = text[end[i] : end[i] + REACH] if w["side"] else text[max(0, start[i] - REACH) : start[i]]
+            out.append((w["start"], w["digest"], w["side"], int(end[i]), part))
+    return out
+
+
+def grown(runs: DataFrame, docs: DataFrame) -> DataFrame:
+    """runs (doc_id, run, start, end, first, last, owners), extended to both sides of their first and last as far as their text equals the owners'."""
+    side = lambda of, k: F.struct(F.lit(k).alias("side"), F.abs(of["at"]).alias("start"), of["digest"].alias("digest"), of["owner"].alias("owner"))
+    ends = runs.select("doc_id", "run", F.explode(F.array(side(F.col("first"), 0), side(F.col("last"), 1))).alias("x"))
+    place = lambda doc, start: F.struct(doc.alias("doc_id"), start.alias("start"), F.col("x.digest").alias("digest"), F.col("x.side").alias("side"))
+    ends = ends.select("doc_id", "run", F.col("x.side").alias("side"), place(F.col("doc_id"), F.col("x.start")).alias("mine"), place(F.col("x.owner"), F.lit(-1)).alias("theirs"))
+    owners = ends.groupBy("theirs").agg(F.count("*").alias("n"))
+    # what many runs ask of one owner is asked once
+    asked = ends.select("mine.*").union(owners.select("theirs.*")).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "digest", "side")).alias("wanted"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id")
+    answers = python_stage(texts, ["text", "wanted"], "found array<struct<start:int,digest:bigint,side:int,end:int,part:string>>", lambda t, w: (beside(t, w),))
+    found = answers.select("doc_id", F.explode("found").alias("x")).select(F.struct("doc_id", "x.start", "x.digest", "x.side").alias("mine"), F.struct("x.end", "x.part").alias("at"))
+    found = checkpoint(found.groupBy("mine").agg(F.min("at").alias("at")))
+    theirs = owners.join(found.select(F.col("mine").alias("theirs"), F.col("at").alias("other")), "theirs")
+    both = lookup(ends.join(found, "mine"), "theirs", theirs, max(1, 2 * runs.count()), "doc_id")
+    more = python_stage(both.select("doc_id", "run", "side", F.col("other.end").alias("from_end"), F.col("at.part").alias("part"), F.col("other.part").alias("other")), ["part", "other", "side"], "more int", lambda a, b, side: (common(a, b, side),))
+    left = F.col("side") == 0
+    by_run = more.groupBy("doc_id", "run").agg(F.max(F.when(left, F.col("more"))).alias("left"), F.max(F.when(~left, F.col("more"))).alias("right"), F.max(F.when(left, F.col("from_end"))).alias("from_end"))
+    out = runs.join(by_run, ["doc_id", "run"], "left")
+    start = F.least("start", F.col("first.at") - F.coalesce("left", F.lit(0)))
+    # a repeat inside a document leaves its first place whole
+    start = F.when(F.col("first.owner") == F.col("doc_id"), F.least("start", F.greatest(start, "from_end"))).otherwise(start)
+    return out.select("doc_id", start.alias("start"), F.greatest("end", F.col("last.end") + F.coalesce("right", F.lit(0))).alias("end"), "owners")
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a checkpoint that nothing reads any more."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, start, end, first_doc_ids): stretches of docs (doc_id, text) that an earlier place holds; places in
     code points, end exclusive, length at least min_run of them; first_doc_ids are the documents that keep them."""
@@ -133,12 +199,24 @@ def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     shared = checkpoint(firsts.filter("n > 1"))
     total = every.count()
     owned = lookup(every, "digest", shared, max(1, total), "doc_id")
-    copied = owned.filter("again or owner < doc_id").select("doc_id", "ix", "start", "end", F.coalesce("owner", "doc_id").alias("owner"))
+    copied = owned.filter("again or owner < doc_id").select("doc_id", "ix", "start", "end", "digest", F.coalesce("owner", "doc_id").alias("owner"))
     order = Window.partitionBy("doc_id").orderBy("ix", "start")
     runs = copied.withColumn("run", F.col("ix") - F.row_number().over(order))
+    whole = Window.partitionBy("doc_id", "run")
+    runs = runs.withColumns({"low": F.min("start").over(whole), "high": F.max("end").over(whole)})
+    chunk = lambda at: F.struct("owner", at.alias("at"), "digest", "end")
+    first = F.min(F.when(F.col("start") - F.col("low") <= NEAR, chunk(F.col("start")))).alias("first")
+    last = F.min(F.when(F.col("high") - F.col("end") <= NEAR, chunk(-F.col("start")))).alias("last")
+    runs = checkpoint(runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), first, last, F.array_sort(F.collect_set("owner")).alias("owners")))
+    discard(every)
+    discard(shared)
+    # extended runs may meet
+    by_start = Window.partitionBy("doc_id").orderBy("start", "end")
+    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    joined = grown(runs, docs).withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
     return (
-        runs.groupBy("doc_id", "run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set("owner")).alias("first_doc_ids"))
+        joined.groupBy("doc_id", "span")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("owners")))).alias("first_doc_ids"))
         .filter(F.col("end") - F.col("start") >= min_run)
         .select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "first_doc_ids")
     )

@@ -1,7 +1,9 @@
 import collections
 import random
+from pathlib import Path
 
 import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from quillspark.llm import substring
@@ -72,3 +74,32 @@ def test_small_tables(spark, small):
             holders[tuple(w[i : i + 51])].add(k)
     late = {k for s in holders.values() if len(s) > 1 for k in s - {min(s)}}
     assert late <= {r["doc_id"] for r in substring.op4_substring_dedup(spark, small).collect()}
+
+
+def test_passages_are_extended_beyond_their_chunks(spark):
+    rows = []
+    for i in range(40):
+        passage = prose(900 + i, 22)
+        rows += [(i, prose(i, 60) + " 1" + passage + "2 " + prose(300 + i, 60)), (100 + i, prose(400 + i, 70) + " 3" + passage + "4 " + prose(500 + i, 50))]
+    texts = dict(rows)
+    got = {r["doc_id"]: texts[r["doc_id"]][r["start"] : r["end"]] for r in substring.repeated_spans(frame(spark, rows)).collect()}
+    whole = [i for i in range(40) if got.get(100 + i) == prose(900 + i, 22)]
+    held = [i for i in range(40) if set(substring.chunk_text(texts[i])[0].tolist()) & set(substring.chunk_text(texts[100 + i])[0].tolist())]
+    assert len(held) > 25 and whole == [i for i in held if len(prose(900 + i, 22)) >= substring.MIN_RUN]
+
+
+def test_periodic_passages_are_found_at_any_offset(spark):
+    rows = [(i, prose(i, 20 + i) + "\n" + "the " * 99 + "\n" + prose(50 + i, 30)) for i in range(8)]
+    got = {r["doc_id"]: r["end"] - r["start"] for r in substring.repeated_spans(frame(spark, rows)).collect() if r["first_doc_ids"] != [r["doc_id"]]}
+    assert set(range(1, 8)) <= set(got) and min(got.values()) >= 380
+
+
+def test_recall_of_51_words_on_sf01(spark):
+    path = Path("/root/testdata/sf0.1")
+    if not path.is_dir():
+        pytest.skip("no test tables here")
+    first, late = {}, set()
+    for k, t in sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()):
+        w = t.split()
+        late |= {k for i in range(len(w) - 50) if first.setdefault(hash(tuple(w[i : i + 51])), k) != k}
+    assert late and late <= {r["doc_id"] for r in substring.op4_substring_dedup(spark, str(path)).collect()}
