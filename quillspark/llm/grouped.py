@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.common import checkpoint
 
-#: near(data, other): for rows of bytes (n, width), whether each is near the row of other, which has n rows or one.
+#: near(data, other): for rows of bytes (n, width), or n byte strings where width is 0, whether each is near the row of other, which has n rows or one.
 Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
 #: Groups of over block nodes that may be broadcast with their sizes; beyond, they are joined by a shuffle.
 MOST_BROADCAST = 100_000
@@ -27,20 +27,24 @@ def forest(nodes: np.ndarray, data: np.ndarray, near: Near) -> list[tuple[int, i
     nodes, first = np.unique(nodes, return_index=True)
     rest, out = data[first], []
     while len(nodes) > 1:
-        stack = [(nodes[0], rest[0])]
+        stack = [(nodes[0], rest[:1])]
         nodes, rest = nodes[1:], rest[1:]
         while stack and len(nodes):
             top, row = stack.pop()
-            hit = near(rest, row[None, :])
+            hit = near(rest, row)
             if hit.any():
                 out += [(int(top), int(f)) for f in nodes[hit]]
-                stack += list(zip(nodes[hit], rest[hit], strict=True))
+                stack += [(nodes[i], rest[i : i + 1]) for i in np.nonzero(hit)[0]]
                 nodes, rest = nodes[~hit], rest[~hit]
     return out
 
 
 def as_bytes(column: pa.Array, width: int) -> np.ndarray:
-    """Values of one width as rows of bytes."""
+    """Values of one width as rows of bytes; of width 0 as they are."""
+    if not width:
+        out = np.empty(len(column), object)
+        out[:] = column.to_pylist()
+        return out
     if pa.types.is_int64(column.type):
         return np.ascontiguousarray(column.to_numpy()).view(np.uint8).reshape(-1, width)
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
@@ -54,7 +58,7 @@ def _scan(batches: Iterator[pa.RecordBatch], n_keys: int, spill: int, width: int
 
     def flush() -> pa.RecordBatch:
         n, m = len(links), len(passed)
-        back = [p[2].tobytes() for p in passed]
+        back = [p[2] if isinstance(p[2], bytes) else p[2].tobytes() for p in passed]
         data = [int.from_bytes(x, "little", signed=True) for x in back] if pa.types.is_int64(kind) else back
         arrays = [
             pa.array([x[0] for x in links] + [p[0] for p in passed], pa.int64()), pa.array([x[1] for x in links] + [None] * m, pa.int64()),
@@ -111,7 +115,7 @@ def _scan(batches: Iterator[pa.RecordBatch], n_keys: int, spill: int, width: int
 
 
 def links_in_groups(rows: DataFrame, near: Near, width: int, block: int = 2048) -> DataFrame:
-    """(a, b): links between the nodes of rows (key bigint, node bigint, data: bigint or binary of width bytes)."""
+    """(a, b): links between the nodes of rows (key bigint, node bigint, data: bigint or binary of width bytes, 0 for any)."""
     spark = rows.sparkSession
     kind = pa.int64() if dict(rows.dtypes)["data"] == "bigint" else pa.binary()
     out = f"a bigint, b bigint, heavy bigint, data {'bigint' if pa.types.is_int64(kind) else 'binary'}"

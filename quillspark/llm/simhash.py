@@ -102,7 +102,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     edges = links(distinct.select("fp"))
     if similar:
-        edges = edges.union(similar_links(prints)).distinct()
+        edges = edges.union(similar_links(prints, named)).distinct()
     # representatives are integers of their own, so components are those of fingerprints and the least id is taken after
     label = connected_components(edges).withColumnsRenamed({"node": "fp", "component": "label"})
     labelled = distinct.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))

@@ -41,3 +41,14 @@ def test_similar_documents_are_linked_and_others_are_not(spark):
     rows = frame(spark, [(1, a, 11), (2, b, 12), (3, c, 13), (4, d, 14), (5, a, 15), (6, "", 16), (7, None, 16)], "doc_id bigint, text string, fp bigint")
     got = {tuple(sorted(r)) for r in similar.similar_links(similar.signatures(rows)).collect()}
     assert got == {(11, 12), (11, 15)}
+
+
+def test_links_are_exact_at_the_threshold(spark):
+    rows, want = [], set()
+    for i in range(60):
+        a, b = pair(100 + i, 300, 5 + i % 8)
+        rows += [(2 * i, a, 2 * i), (2 * i + 1, b, 2 * i + 1)]
+        if len(shingles(a) & shingles(b)) >= similar.SIMILARITY * len(shingles(a) | shingles(b)):
+            want.add((2 * i, 2 * i + 1))
+    got = {tuple(sorted(r)) for r in similar.similar_links(similar.signatures(frame(spark, rows, "doc_id bigint, text string, fp bigint"))).collect()}
+    assert 10 < len(want) < 50 and got == want
