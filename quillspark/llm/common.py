@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 HOT_SHARE = 1 / 2000
 #: Rows of text that one Arrow batch of a Python stage may return, by characters.
 BATCH_CHARS = 2_000_000
-#: Most rows and bytes of an Arrow batch that Spark hands to a Python stage of texts.
+#: Most rows and bytes of an Arrow batch that Spark hands to a Python stage of texts, where the session sets none itself.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
@@ -22,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset and the master is local."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -39,16 +41,45 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _set_by_user(spark: SparkSession) -> set[str]:
+    """Those of the ARROW settings that the session has already."""
+    return ARROW.keys() & spark.conf.getAll.keys()
+
+
+def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(__row, __whole) of every row of docs: a number of its own in the order of id_col, and the row as a structure.
+
+    Identifiers that are all there and unique are the numbers. Otherwise the rows are written once to the shared
+    folder, ordered by identifier (nulls last) and a hash of the text, and numbered as they lie there, so that
+    numbers stay the same in every later stage; rows that agree in both are salted over partitions.
+    """
+    spark = docs.sparkSession
+    id_ = F.col(f"`{id_col}`")
+    whole = docs.select(id_.cast("long").alias("__row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__whole"))
+    if not whole.groupBy("__row").count().filter("count > 1 or __row is null").limit(1).count():
+        return whole
+    order = [F.col("__row").asc_nulls_last(), F.col("__text"), F.col("__salt")]
+    marked = whole.select("__row", F.xxhash64(F.col(f"__whole.`{text_col}`")).alias("__text"), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)).alias("__salt"), "__whole")
+    dealt = marked.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    path = shared_dir(spark, "rows")
+    dealt.select(F.monotonically_increasing_id().alias("__row"), "__whole").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def python_stage(df: DataFrame, inputs: list[str], outputs: str, fn: Callable[..., tuple]) -> DataFrame:
     """Append the columns of the DDL string outputs, computed row by row by fn(*inputs) in Arrow batches of bounded size.
 
     Other columns pass through unread. A column of df that has the name of an output is replaced.
     """
     for key, value in ARROW.items():  # both sides of the pipe hold whole batches, so these bound memory
-        df.sparkSession.conf.set(key, value)
+        if key not in _set_by_user(df.sparkSession):
+            df.sparkSession.conf.set(key, value)
     out = T._parse_datatype_string(outputs)
     kept = [c for c in df.columns if c not in out.names]
-    hidden = [f"__in{i}" for i in range(len(inputs))]
+    mark = "__in"
+    while any(c.startswith(mark) for c in df.columns):
+        mark += "_"
+    hidden = [f"{mark}{i}" for i in range(len(inputs))]
     source = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(h) for c, h in zip(inputs, hidden, strict=True)])
     schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *out.fields])
     n_kept, n_out = len(kept), len(out.fields)

@@ -1,8 +1,10 @@
 """Links within groups of rows that share a key, as spanning forests, for groups of any size.
 
-Rows (key, node, data) are dealt by key and sorted; a group of up to block nodes is linked where it
-lies, a larger one is dealt again as pairs of blocks, so that no task holds more than two blocks of a
-group. A group yields at most one link less than it has nodes, never all its pairs.
+Groups are counted first, combined before the shuffle, so that no large one ever meets in one task. A group of up
+to block nodes (and BYTES of data) is linked where it lies. Of a larger one every row is held against the group's
+hub, its least node; rows near the hub are connected by that alone. What is left, the far rows, is dealt against all
+rows of the group in pairs of blocks: each pair of nodes of which one is far meets in a task of at most two blocks,
+so a group of copies costs one comparison a row. A group yields at most one link a node and task, never all its pairs.
 """
 
 from __future__ import annotations
@@ -14,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.common import checkpoint
+from quillspark.llm.components import lookup
 
 #: near(data, other): for rows of bytes (n, width), or n byte strings where width is 0, whether each is near the row of other, which has n rows or one.
 Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
-#: Groups of over block nodes that may be broadcast with their sizes; beyond, they are joined by a shuffle.
-MOST_BROADCAST = 100_000
+#: Bytes of data in a group, or in a block of one, that a task may hold.
+BYTES = 64 << 20
+#: Bytes of keys (some 50 each) or hubs that may be broadcast; beyond, they are joined by a shuffle.
+MOST_BROADCAST = 16 << 20
 FLUSH = 50_000
 
 
@@ -50,33 +55,22 @@ def as_bytes(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], n_keys: int, spill: int, width: int, near: Near, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """Of rows (keys, node, data) sorted by key: a row (a, b) for each link; rows of groups of over spill nodes pass as (a: node, heavy: key, data)."""
+def _scan(batches: Iterator[pa.RecordBatch], n_keys: int, width: int, near: Near) -> Iterator[pa.RecordBatch]:
+    """Of rows (keys, node, data) sorted by key: a row (a, b) for each link."""
     links: list[tuple[int, int]] = []
-    passed: list[tuple[int, int, np.ndarray]] = []
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("heavy", pa.int64()), ("data", kind)])
 
     def flush() -> pa.RecordBatch:
-        n, m = len(links), len(passed)
-        back = [p[2] if isinstance(p[2], bytes) else p[2].tobytes() for p in passed]
-        data = [int.from_bytes(x, "little", signed=True) for x in back] if pa.types.is_int64(kind) else back
-        arrays = [
-            pa.array([x[0] for x in links] + [p[0] for p in passed], pa.int64()), pa.array([x[1] for x in links] + [None] * m, pa.int64()),
-            pa.array([None] * n + [p[1] for p in passed], pa.int64()), pa.array([None] * n + data, kind),
-        ]
+        out = pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
         links.clear()
-        passed.clear()
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+        return out
 
     held_key: tuple | None = None
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    size, passing = 0, False
 
     def close() -> None:
-        nonlocal held, size, passing
-        if not passing and size > 1:
+        if sum(len(h[0]) for h in held) > 1:
             links.extend(forest(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), near))
-        held, size, passing = [], 0, False
+        held.clear()
 
     for batch in batches:
         n = batch.num_rows
@@ -99,45 +93,66 @@ def _scan(batches: Iterator[pa.RecordBatch], n_keys: int, spill: int, width: int
             if key != held_key:
                 close()
                 held_key = key
-            if not passing:
-                held.append((nodes[s:e], data[s:e]))
-                size += e - s
-                if size > spill:
-                    passed.extend((int(x), key[0], d) for h in held for x, d in zip(*h, strict=True))
-                    held, passing = [], True
-            else:
-                passed.extend((int(x), key[0], d) for x, d in zip(nodes[s:e], data[s:e], strict=True))
-            if len(links) + len(passed) > FLUSH:
+            held.append((nodes[s:e], data[s:e]))
+            if len(links) > FLUSH:
                 yield flush()
     close()
-    if links or passed:
+    if links:
         yield flush()
 
 
-def links_in_groups(rows: DataFrame, near: Near, width: int, block: int = 2048) -> DataFrame:
-    """(a, b): links between the nodes of rows (key bigint, node bigint, data: bigint or binary of width bytes, 0 for any)."""
-    spark = rows.sparkSession
-    kind = pa.int64() if dict(rows.dtypes)["data"] == "bigint" else pa.binary()
-    out = f"a bigint, b bigint, heavy bigint, data {'bigint' if pa.types.is_int64(kind) else 'binary'}"
+def _near_hub(batches: Iterator[pa.RecordBatch], width: int, near: Near) -> Iterator[pa.RecordBatch]:
+    """(key, node, data, n_all, size, hub, hub_data) with far, whether the row isn't near its hub, in place of hub_data."""
+    for batch in batches:
+        if batch.num_rows:
+            close = near(as_bytes(batch.column(2), width), as_bytes(batch.column(6), width))
+            far = ~close & (batch.column(1).to_numpy() != batch.column(5).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(far)], names=["key", "node", "data", "n_all", "size", "hub", "far"])
+
+
+def attached(rows: DataFrame, values: DataFrame, value_bytes: int = 50) -> DataFrame:
+    """rows (key, node, ...) left-joined to values (key, n, ...), where n counts the rows of a key: by broadcast where values are few, else by a skew-safe shuffle."""
+    if values.count() * value_bytes <= MOST_BROADCAST:
+        return rows.join(F.broadcast(values.drop("n")), "key", "left")
+    return lookup(rows, "key", values, max(1, rows.count()), "node")
+
+
+def links_of_groups(rows: DataFrame, near: Near, width: int) -> DataFrame:
+    """(a, b): links within groups that are known to fit a task."""
     dealt = rows.select("key", "node", "data").repartition("key").sortWithinPartitions("key")
-    first = checkpoint(dealt.mapInArrow(lambda it: _scan(it, 1, block, width, near, kind), out))
-    found = first.filter("heavy is null").select("a", "b")
-    heavy = first.filter("heavy is not null").select(F.col("heavy").alias("key"), F.col("a").alias("node"), "data")
-    sizes = heavy.groupBy("key").agg(F.count("*").alias("n"))
-    n_heavy = sizes.count()
-    if not n_heavy:
+    return dealt.mapInArrow(lambda it: _scan(it, 1, width, near), "a bigint, b bigint")
+
+
+def links_in_groups(rows: DataFrame, near: Near, width: int, block: int = 2048) -> DataFrame:
+    """(a, b): links between the nodes of rows (key bigint, node bigint, data: bigint or binary of width bytes, 0 for any).
+
+    rows is read several times: give a table or a checkpoint where it is costly.
+    """
+    rows = rows.select("key", "node", "data")
+    kind = dict(rows.dtypes)["data"]
+    length = lambda c: F.lit(width).cast("long") if width else F.octet_length(c).cast("long")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(length("data")).alias("size"))
+    large = checkpoint(sizes.filter((F.col("n") > 1) & ((F.col("n") > block) | (F.col("size") > BYTES))))
+    marked = attached(rows, large.withColumn("n_all", F.col("n")))
+    found = links_of_groups(marked.filter("n_all is null"), near, width)
+    if large.isEmpty():
+        return found.distinct()
+    heavy = marked.filter("n_all is not null").select("key", "node", "data", "n_all", "size")
+    hubs = checkpoint(heavy.groupBy("key").agg(F.min(F.struct("node", "data")).alias("h"), F.count("*").alias("n")).select("key", "n", F.col("h.node").alias("hub"), F.col("h.data").alias("hub_data")))
+    largest = hubs.agg(F.max(length("hub_data"))).first()[0]
+    held = attached(heavy, hubs, 50 + largest).select("key", "node", "data", "n_all", "size", "hub", "hub_data")
+    told = checkpoint(held.mapInArrow(lambda it: _near_hub(it, width, near), f"key bigint, node bigint, data {kind}, n_all bigint, size bigint, hub bigint, far boolean"))
+    found = found.union(told.filter("not far and node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    far = checkpoint(told.groupBy("key").agg(F.count("*").alias("n"), F.count_if("far").alias("n_far")).filter("n_far > 0"))
+    if far.isEmpty():
         return found.distinct()
-    sizes = sizes.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    if n_heavy <= MOST_BROADCAST:
-        sizes = F.broadcast(sizes)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    pairs = (
-        heavy.join(sizes, "key")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), "node", "data")
-    )
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pairs.repartition(n_parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    second = dealt.mapInArrow(lambda it: _scan(it, 3, 1 << 62, width, near, kind), out)
-    return found.union(second.select("a", "b")).distinct()
+    # blocks of about block nodes and BYTES at most
+    blocks = F.greatest(F.ceil(F.col("n_all") / block), F.ceil(F.col("size") / BYTES)).cast("long")
+    rest = attached(told, far).filter("n_far is not null").withColumn("blocks", blocks)
+    rest = rest.withColumns({"far_blocks": F.ceil(F.col("n_far") * F.col("blocks") / F.col("n_all")).cast("long"), "spread": F.xxhash64("node")})
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    as_row = rest.select("key", F.pmod("spread", "blocks").alias("i"), every("far_blocks").alias("j"), "node", "data")
+    as_far = rest.filter("far").select("key", every("blocks").alias("i"), F.pmod(F.shiftright("spread", 20), F.col("far_blocks")).alias("j"), "node", "data")
+    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = as_row.union(as_far).repartition(n_parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return found.union(dealt.mapInArrow(lambda it: _scan(it, 3, width, near), "a bigint, b bigint")).distinct()

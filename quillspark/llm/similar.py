@@ -17,8 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.common import checkpoint, python_stage
-from quillspark.llm.components import connected_components
-from quillspark.llm.grouped import links_in_groups
+from quillspark.llm.components import connected_components, lookup
+from quillspark.llm.grouped import attached, links_in_groups
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -91,19 +91,22 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def similar_links(rows: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """(a, b): links between the fp of rows (doc_id, fp, set_id, bands, data) that connect similar documents and those of equal shingle sets; docs (doc_id, text), rows by default, has their texts."""
-    sets = checkpoint(rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("low")))
+    sets = checkpoint(rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("low"), F.count("*").alias("n")))
+    # one row stands for each set: copies are never banded
+    reps = rows.withColumnRenamed("doc_id", "rep").join(sets.select("set_id", "rep"), ["set_id", "rep"], "left_semi")
     # bands travel without their data: a key that two sets share is rare, and only its rows are given theirs
-    banded = rows.select("set_id", F.explode("bands").alias("key"))
-    met = banded.groupBy("key").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most")).filter("least < most").select("key")
-    members = banded.join(met, "key", "left_semi").distinct()
-    known = members.join(sets.select("set_id", "rep"), "set_id").join(rows.select(F.col("doc_id").alias("rep"), F.col("set_id").alias("own"), "data"), "rep").filter("set_id = own")
-    found = links_in_groups(known.select("key", F.col("set_id").alias("node"), "data"), near, VALUES, 1024)
+    banded = reps.select("set_id", F.explode("bands").alias("key"))
+    met = checkpoint(banded.groupBy("key").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most"), F.count("*").alias("n")).filter("least < most").select("key", "n", F.lit(True).alias("met")))
+    members = attached(banded.withColumnRenamed("set_id", "node"), met).filter("met").select("key", "node")
+    known = checkpoint(members.join(reps.select(F.col("set_id").alias("node"), "data"), "node").distinct())
+    found = links_in_groups(known, near, VALUES, 1024)
     # each set comes once to what candidates connect, with its shingles: links there connect just what exact pairs do
     joint = connected_components(found).join(sets.select(F.col("set_id").alias("node"), F.col("rep").alias("doc_id")), "node")
     texts = (rows if docs is None else docs).select("doc_id", "text").join(joint, "doc_id")
     exact = python_stage(texts, ["text"], "own bigint, data binary", lambda t: (set_of(h := shingle_hashes(t)), h.tobytes())).filter("own = node")
-    found = links_in_groups(exact.select(F.col("component").alias("key"), "node", "data"), overlapping, 0, 1024)
+    found = links_in_groups(checkpoint(exact.select(F.col("component").alias("key"), "node", "data")), overlapping, 0, 1024)
     low = lambda end, name: sets.select(F.col("set_id").alias(end), F.col("low").alias(name))
     alike = found.join(low("a", "x"), "a").join(low("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    equal = rows.select("set_id", "fp").distinct().join(sets.select("set_id", "low"), "set_id").select(F.col("fp").alias("a"), F.col("low").alias("b"))
-    return alike.union(equal.filter("a <> b"))
+    first = sets.filter("n > 1").select("set_id", "n", "low")
+    equal = lookup(rows.filter("set_id is not null").select("set_id", "fp", "doc_id"), "set_id", first, max(1, rows.count()), "doc_id").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    return alike.union(equal.filter("a <> b").distinct())

@@ -76,14 +76,57 @@ def test_links_are_those_of_brute_force(spark):
     assert same_parts(nodes, edges) and len(edges) < 35 * len(nodes)
 
 
-def test_large_groups_are_dealt_in_blocks(spark):
+def test_the_tally_rejects_and_verification_decides():
+    base = 0x0123456789ABCDEF
+    four = base ^ (0x01 << 56 | 0x01 << 48 | 0x01 << 40 | 0x01 << 32)  # shares a posting, but four bytes only
+    wide = base ^ (0xFF << 56)  # shares seven bytes and differs in eight bits
+    kin = base ^ (0x80 << 56 | 0x01)
+    a = np.array([four, wide, kin], "<u8").view(np.uint8).reshape(-1, 8)
+    b = np.array([base], "<u8").view(np.uint8).reshape(-1, 8)
+    assert simhash.tally(a, b).tolist() == [4, 7, 6] and simhash.near(a, b).tolist() == [False, False, True]
+    masks = [m % (1 << 64) for m in simhash.position_masks()]
+    assert any(four & m == base & m for m in masks) and len(masks) == 35
+
+
+def test_finer_masks_keep_all_near_pairs():
+    rng = random.Random(4)
+    for _ in range(300):
+        x, bits = rng.getrandbits(64), rng.sample(range(64), 3)
+        y = x ^ sum(1 << i for i in bits)
+        masks = [m for m in simhash.position_masks() if not (x ^ y) & m]
+        for free in (24, 18, 14):
+            masks = [f for m in masks for f in simhash.finer(m) if not (x ^ y) & f]
+            assert masks and all(64 - (m % (1 << 64)).bit_count() <= free for m in masks)
+
+
+def test_heavy_postings_are_made_finer(spark):
     base = random.Random(5).getrandbits(64)
-    nodes = sorted({simhash.signed(base ^ 1 << i ^ 1 << j) for i in range(12) for j in range(12)})
-    rows = frame(spark, [(7, x, x) for x in nodes], "key bigint, node bigint, data bigint")
-    edges = [(r["a"], r["b"]) for r in grouped.links_in_groups(rows, simhash.near, 8, block=10).collect()]
+    nodes = sorted({simhash.signed(base ^ 1 << i ^ 1 << j ^ 1 << k) for i in range(14) for j in range(14) for k in (0, 63)} | set(ball(9, 60)))
+    edges = [(r["a"], r["b"]) for r in simhash.links(frame(spark, [(x,) for x in nodes], "fp bigint"), block=8).collect()]
     assert same_parts(nodes, edges)
 
 
+def test_large_groups_are_held_against_hubs_and_dealt_in_blocks(spark):
+    rng = random.Random(5)
+    bases = [rng.getrandbits(64) for _ in range(4)]
+    nodes = sorted({simhash.signed(b ^ 1 << i ^ 1 << j) for b in bases for i in range(9) for j in range(9)})
+    rows = frame(spark, [(7, x, x) for x in nodes] + [(8, x, x) for x in nodes[:3]], "key bigint, node bigint, data bigint")
+    edges = [(r["a"], r["b"]) for r in grouped.links_in_groups(rows, simhash.near, 8, block=10).collect()]
+    assert same_parts(nodes, edges) and len(edges) < len(nodes) * 20
+
+
+def test_groups_shuffled_for_want_of_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(grouped, "MOST_BROADCAST", 0)
+    test_large_groups_are_held_against_hubs_and_dealt_in_blocks(spark)
+
+
+def test_rows_that_share_an_identifier_are_rows_of_their_own(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "p"), (1, b, "q"), (9, b, "r"), (None, c, "s"), (None, c, "t"), (None, a, "u"), (4, c + " x", "v")]
+    got = simhash.drop_near_duplicates(frame(spark, rows, "doc_id bigint, text string, __row string"))
+    assert got.columns == ["doc_id", "text", "__row"] and sorted(r["__row"] for r in got.collect()) == ["p", "q", "v"]
+
+
 def test_components_of_long_paths_and_stars(spark):
     path = [(i, i + 1) for i in range(100, 160)]
     star = [(500, i) for i in range(501, 600)]
@@ -123,7 +166,7 @@ def test_drop_keeps_one_of_near_copies(spark):
     rows = [(3, " ".join(words), "c"), (5, " ".join(near), "c"), (5, " ".join(near), "c"), (9, " ".join(other), "c"), (None, "x", "c"), (None, "x", "c")]
     got = simhash.drop_near_duplicates(frame(spark, rows, "doc_id bigint, text string, fp string"))
     assert got.columns == ["doc_id", "text", "fp"]
-    assert sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 0, 3, 9]
+    assert sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 3, 9]
 
 
 def test_equal_shingle_sets_are_linked(spark):
