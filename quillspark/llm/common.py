@@ -46,8 +46,8 @@ def _set_by_user(spark: SparkSession) -> set[str]:
     return ARROW.keys() & spark.conf.getAll.keys()
 
 
-def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(__row, __whole) of every row of docs: a number of its own in the order of id_col, and the row as a structure.
+def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """(__row, __whole) of every row of docs, a number of its own in the order of id_col and the row as a structure; and whether the numbers are the identifiers.
 
     Identifiers that are all there and unique are the numbers. Otherwise the rows are written once to the shared
     folder, ordered by identifier (nulls last) and a hash of the text, and numbered as they lie there, so that
@@ -57,13 +57,13 @@ def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     id_ = F.col(f"`{id_col}`")
     whole = docs.select(id_.cast("long").alias("__row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__whole"))
     if not whole.groupBy("__row").count().filter("count > 1 or __row is null").limit(1).count():
-        return whole
+        return whole, True
     order = [F.col("__row").asc_nulls_last(), F.col("__text"), F.col("__salt")]
     marked = whole.select("__row", F.xxhash64(F.col(f"__whole.`{text_col}`")).alias("__text"), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)).alias("__salt"), "__whole")
     dealt = marked.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     path = shared_dir(spark, "rows")
     dealt.select(F.monotonically_increasing_id().alias("__row"), "__whole").write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), False
 
 
 def python_stage(df: DataFrame, inputs: list[str], outputs: str, fn: Callable[..., tuple]) -> DataFrame:

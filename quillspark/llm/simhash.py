@@ -141,7 +141,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, similar: bool = True)
     Rows are told apart by numbers of their own: a row goes only if its own text is a near copy of an earlier one's,
     whatever its identifier. Rows without one come last, rows that share one stand by a hash of their text.
     """
-    keyed = row_keys(docs)
+    keyed, _ = row_keys(docs)
     found = near_duplicates(keyed.select("__row", F.col("__whole.text").alias("text")), id_col="__row", words=words, similar=similar)
     gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias("__row"))
     return keyed.join(gone, "__row", "left_anti").select("__whole.*")

@@ -6,18 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-#: A token is a run of letters and digits, of at most so many; longer runs give several tokens.
-LONGEST = 16
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, which a name inside a nested lambda would not be."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def tokens(text: Column, longest: int = LONGEST) -> Column:
-    """Lower-case tokens of a text; none for null."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"([\p{{L}}\p{{N}}]{{1,{longest}}})"), F.lit(1))
+def tokens(text: Column, longest: int | None = None) -> Column:
+    """Lower-case tokens of a text, runs of letters and digits, on request in pieces of at most so many; none for null."""
+    size = "+" if longest is None else f"{{1,{longest}}}"
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"([\p{{L}}\p{{N}}]{size})"), F.lit(1))
 
 
 def span(n: Column) -> Column:

@@ -1,3 +1,4 @@
+import random
 import re
 
 import duckdb
@@ -32,9 +33,40 @@ def test_query_agrees_with_sql(spark, tmp_path):
 
 
 def test_sketches_miss_nothing_at_the_threshold(spark):
-    known = decontaminate.index(frame(spark, ITEMS, "item_id bigint, text string")).filter("item_id = 1").collect()
-    size = len({r["hash"] for r in known})
-    assert sum(r["sketched"] for r in known) == int(size * (1 - decontaminate.THRESHOLD) + 1e-9) + 1
+    items = [(n, " ".join(f"i{n}w{j}" for j in range(n + 4))) for n in range(1, 70)]
+    known = decontaminate.index(frame(spark, items, "item_id bigint, text string")).collect()
+    for n, _ in items:
+        mine = [r for r in known if r["item_id"] == n]
+        missing, largest = (int(size * (1 - decontaminate.THRESHOLD) + 1e-6) for size in (n, (1 << n.bit_length()) - 1))
+        assert len(mine) == n and sum(r["sketched"] for r in mine) == min(n, 2 * largest + 1)
+        # whatever is missing, no more than the sketch may lack is
+        assert {r["least"] for r in mine} == {min(n, 2 * largest + 1) - missing} and mine[0]["least"] >= 1
+
+
+def test_the_sketch_lessens_candidates(spark):
+    rng, items = random.Random(7), [(n, " ".join(f"i{n}w{j}" for j in range(44))) for n in range(30)]
+    docs, want = [], set()
+    for d in range(120):
+        n = rng.randrange(30)
+        kept = rng.choice([6, 10, 20, 36, 40, 44])
+        docs.append((d, " ".join(["x"] * 9 + items[n][1].split()[:kept] + ["y"] * 9)))
+        if max(0, kept - 4) >= 0.8 * 40:
+            want.add((d, n))
+    docs, items = frame(spark, docs), frame(spark, items, "item_id bigint, text string")
+    met = {tuple(r) for r in decontaminate.candidates(docs, decontaminate.index(items), [5]).collect()}
+    assert {tuple(r[:2]) for r in decontaminate.contained(docs, items).collect()} == want <= met and len(met) < 110
+
+
+def test_whole_words_of_any_length(spark):
+    item = " ".join("w" * 40 + str(i) for i in range(9))
+    docs = [(1, "a " + item + " b"), (2, "a " + " ".join("w" * 16 for _ in range(30)))]
+    got = decontaminate.contained(frame(spark, docs), frame(spark, [(1, item)], "item_id bigint, text string")).collect()
+    assert [(r["doc_id"], r["matched"], r["size"]) for r in got] == [(1, 5, 5)]
+
+
+def test_rows_without_or_with_shared_identifiers_are_checked(spark):
+    docs = frame(spark, [(None, "a " + ITEM, "x"), (None, "clean text", "y"), (4, ITEM, "z"), (4, "clean text too", "w")], "doc_id bigint, text string, k string")
+    assert sorted(r["k"] for r in decontaminate.decontaminate(docs, frame(spark, ITEMS, "item_id bigint, text string")).collect()) == ["w", "y"]
 
 
 def test_shuffled_index_gives_the_same(spark, monkeypatch):
