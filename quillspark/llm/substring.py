@@ -4,13 +4,16 @@ A text's UTF-8 bytes are cut where the gear hash of the last 32 bytes has CUT_BI
 MIN_BYTES after the last cut, at code point boundaries; so an insertion moves only the cuts beside it. Where
 FALLBACK bytes have no such hash, as in periodic text, a place whose hash is the least of them is cut too.
 
-Chunks with equal digests are copies: the first document (smallest doc_id) keeps them, later ones lose
-them, and within a document the first place keeps them. A run of copied chunks is extended to both sides as far
-as its text equals its owners', at least REACH - NEAR characters a side; it counts from min_run characters on. A passage that holds no whole chunk is not found. A chunk shared by any number of documents is aggregated to its first document before it is
-joined back, and a hot chunk is joined by broadcast.
+Chunks with equal digests (XXH3, 128 bits) are copies: the first row (smallest doc_id) keeps them, later ones lose
+them, and within a text the first place keeps them. A run of copied chunks is extended to both sides as far as its text
+equals its owners', at most REACH characters a side, and counts from min_run characters on; with min_run 1 every copied
+chunk does. A passage that holds no whole chunk is not found.
 
-Null text is the empty text: no chunks. Rows that share a doc_id are one document: a chunk that both
-hold has one owner, so neither loses it to the other. Rows without doc_id take no part. Empty tables give empty ones.
+Chunks are dealt by digest once. Digests that hold a large share of all rows are told by the size of their bucket, are
+aggregated to their first row before any shuffle and joined back by broadcast.
+
+Every row is a text of its own, also where rows share a doc_id (they stand by a hash of their text) or have none (they
+come last); a row is cut by its own spans only. Null text is the empty text: no chunks. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quillspark.llm.common import checkpoint, python_stage, table
+from quillspark.llm.common import checkpoint, hot_keys, python_stage, row_keys, table
 from quillspark.llm.components import lookup
 
 CUT_BITS = 5
@@ -31,9 +34,11 @@ MAX_BYTES = 512
 MIN_RUN = 100
 #: Bytes without a cut after which the least hash of as many is one.
 FALLBACK = 64
-#: A run is extended from a chunk within NEAR characters of its edge, of those with the smallest owner the outermost,
+#: A run is extended from one of the NEAR chunks at its edge, of those with the smallest owner the outermost,
 #: over at most REACH characters. Chunks of equal texts meet again within a few cuts, so more is seldom equal.
-NEAR, REACH = 150, 400
+NEAR, REACH = 3, 400
+#: Buckets of digests by whose size hot ones are told.
+BUCKETS = 1 << 16
 #: Texts are chunked in stretches of so many bytes, which bounds memory; cuts don't depend on it.
 STRETCH = 1 << 22
 
@@ -94,48 +99,68 @@ def cuts(data: np.ndarray) -> list[int]:
     return out
 
 
-def chunk_text(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(digest, start, end) arrays of the chunks of a text; places in code points, digests XXH3-64 as signed integers."""
+def chunk_text(text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(digests, starts, ends) of the chunks of a text; places in code points, digests of 16 bytes."""
     import xxhash
 
     raw = (text or "").encode("utf-8", "replace")
     data = np.frombuffer(raw, np.uint8)
     ends = cuts(data)
     starts = [0, *ends[:-1]] if ends else []
-    digest = np.array([xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(starts, ends, strict=True)], np.uint64).view(np.int64)
+    digests = [xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(starts, ends, strict=True)]
     points = np.cumsum((data & 0xC0) != 0x80)
     ends_at = points[np.array(ends, np.int64) - 1] if ends else np.zeros(0, np.int64)
-    return digest, np.concatenate([[0], ends_at[:-1]]).astype(np.int64) if ends else ends_at, ends_at.astype(np.int64)
+    return digests, np.concatenate([[0], ends_at[:-1]]).astype(np.int64) if ends else ends_at, ends_at.astype(np.int64)
+
 
+def halves(digests: list[bytes]) -> np.ndarray:
+    """Digests as rows of two signed integers."""
+    return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, ix, start, end, digest, again) of every chunk; again: the document held that digest before."""
+
+def chunks(rows: DataFrame) -> DataFrame:
+    """(row, ix, d1, d2, again) of every chunk of rows (row, text); d1 and d2 are its digest, again says that the text held it before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "ix", "start", "end", "digest", "again"]
+        names = ["row", "ix", "d1", "d2", "again"]
         for batch in batches:
             parts: list[tuple] = []
-            rows = 0
+            n_rows = 0
 
             def flush(parts: list[tuple]) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in parts])) for i in range(6)], names=names)
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in parts])) for i in range(5)], names=names)
 
             for i in range(batch.num_rows):
-                digest, start, end = chunk_text(batch.column(1)[i].as_py())
-                n = len(digest)
+                digests = chunk_text(batch.column(1)[i].as_py())[0]
+                n, seen = len(digests), set()
                 if n:
-                    again = np.ones(n, bool)
-                    again[np.unique(digest, return_index=True)[1]] = False
-                    parts.append((np.full(n, batch.column(0)[i].as_py(), np.int64), np.arange(n, dtype=np.int32), start.astype(np.int32), end.astype(np.int32), digest, again))
-                    rows += n
-                if rows > 100_000:
+                    again = np.fromiter((d in seen or seen.add(d) is not None for d in digests), bool, n)
+                    both = halves(digests)
+                    parts.append((np.full(n, batch.column(0)[i].as_py(), np.int64), np.arange(n, dtype=np.int32), both[:, 0], both[:, 1], again))
+                    n_rows += n
+                if n_rows > 100_000:
                     yield flush(parts)
-                    parts, rows = [], 0
+                    parts, n_rows = [], 0
             if parts:
                 yield flush(parts)
 
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, ix int, start int, end int, digest bigint, again boolean")
+    return rows.select("row", "text").mapInArrow(run, "row bigint, ix int, d1 bigint, d2 bigint, again boolean")
+
+
+def copies(every: DataFrame) -> DataFrame:
+    """(row, ix, digest, owner) of the chunks that an earlier place holds; owner is the first row that does."""
+    digest = F.struct("d1", "d2").alias("digest")
+    marked = every.withColumn("bucket", F.pmod("d1", F.lit(BUCKETS)).cast("int"))
+    hot = checkpoint(hot_keys(marked.groupBy("bucket").agg(F.count("*").alias("n")), every.count()).select("bucket", F.lit(True).alias("hot")))
+    marked = marked.join(F.broadcast(hot), "bucket", "left")
+    cold = marked.filter("hot is null").withColumn("owner", F.min("row").over(Window.partitionBy("d1", "d2")))
+    found = cold.filter("again or owner < row").select("row", "ix", digest, "owner")
+    if hot.isEmpty():
+        return found
+    rest = marked.filter("hot").select("row", "ix", digest, "again")
+    firsts = checkpoint(rest.groupBy("digest").agg(F.min("row").alias("owner"), F.count("*").alias("n")).filter("n > 1"))
+    owned = lookup(rest, "digest", firsts, max(1, rest.count()), "row")
+    return found.union(owned.filter("again or owner < row").select("row", "ix", "digest", "owner"))
 
 
 def common(a: str | None, b: str | None, side: int) -> int:
@@ -145,42 +170,53 @@ def common(a: str | None, b: str | None, side: int) -> int:
     return len(os.path.commonprefix([a, b] if side else [a[::-1], b[::-1]]))
 
 
-def beside(text: str | None, wanted: list) -> list[tuple[int, int, int, int, str]]:
-    """(start, digest, side, end, text beside it) of those wanted chunks (start, digest, side) that text holds; of start -1, the first of that digest."""
-    digest, start, end = chunk_text(text)
-    firsts = dict(zip(digest[::-1].tolist(), range(len(digest) - 1, -1, -1), strict=True))
-    out = []
-    for w in wanted:
-        i = firsts.get(w["digest"], len(start)) if w["start"] < 0 else int(np.searchsorted(start, w["start"]))
-        if i < len(start) and w["start"] in (-1, start[i]) and digest[i] == w["digest"]:
-            part = text[end[i] : end[i] + REACH] if w["side"] else text[max(0, start[i] - REACH) : start[i]]
-            out.append((w["start"], w["digest"], w["side"], int(end[i]), part))
-    return out
-
-
-def grown(runs: DataFrame, docs: DataFrame) -> DataFrame:
-    """runs (doc_id, run, start, end, first, last, owners), extended to both sides of their first and last as far as their text equals the owners'."""
-    side = lambda of, k: F.struct(F.lit(k).alias("side"), F.abs(of["at"]).alias("start"), of["digest"].alias("digest"), of["owner"].alias("owner"))
-    ends = runs.select("doc_id", "run", F.explode(F.array(side(F.col("first"), 0), side(F.col("last"), 1))).alias("x"))
-    place = lambda doc, start: F.struct(doc.alias("doc_id"), start.alias("start"), F.col("x.digest").alias("digest"), F.col("x.side").alias("side"))
-    ends = ends.select("doc_id", "run", F.col("x.side").alias("side"), place(F.col("doc_id"), F.col("x.start")).alias("mine"), place(F.col("x.owner"), F.lit(-1)).alias("theirs"))
-    owners = ends.groupBy("theirs").agg(F.count("*").alias("n"))
-    # what many runs ask of one owner is asked once
-    asked = ends.select("mine.*").union(owners.select("theirs.*")).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "digest", "side")).alias("wanted"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id")
-    answers = python_stage(texts, ["text", "wanted"], "found array<struct<start:int,digest:bigint,side:int,end:int,part:string>>", lambda t, w: (beside(t, w),))
-    found = answers.select("doc_id", F.explode("found").alias("x")).select(F.struct("doc_id", "x.start", "x.digest", "x.side").alias("mine"), F.struct("x.end", "x.part").alias("at"))
-    found = checkpoint(found.groupBy("mine").agg(F.min("at").alias("at")))
-    theirs = owners.join(found.select(F.col("mine").alias("theirs"), F.col("at").alias("other")), "theirs")
-    both = lookup(ends.join(found, "mine"), "theirs", theirs, max(1, 2 * runs.count()), "doc_id")
-    more = python_stage(both.select("doc_id", "run", "side", F.col("other.end").alias("from_end"), F.col("at.part").alias("part"), F.col("other.part").alias("other")), ["part", "other", "side"], "more int", lambda a, b, side: (common(a, b, side),))
+def beside(text: str | None, runs: list, asked: list) -> tuple[list[tuple], list[tuple]]:
+    """Of runs (run, low, high, first, last), given by chunk numbers, (run, start, end, left_at, left, right_at, right):
+    their places and the text beside their chunks first and last. Of asked chunks (digest, side) the first in text:
+    (digest, side, end, text beside it)."""
+    digests, start, end = chunk_text(text)
+    before = lambda i: text[max(0, start[i] - REACH) : start[i]]
+    after = lambda i: text[end[i] : end[i] + REACH]
+    places = [(r["run"], int(start[r["low"]]), int(end[r["high"]]), int(start[r["first"]]), before(r["first"]), int(end[r["last"]]), after(r["last"])) for r in runs or ()]
+    if not asked:
+        return places, []
+    first = dict(zip(digests[::-1], range(len(digests) - 1, -1, -1), strict=True))
+    parts = []
+    for a in asked:
+        i = first[halves_to_bytes(a["digest"])]
+        parts.append((a["digest"], a["side"], int(end[i]), after(i) if a["side"] else before(i)))
+    return places, parts
+
+
+def halves_to_bytes(digest: dict) -> bytes:
+    return np.array([digest["d1"], digest["d2"]], "<i8").tobytes()
+
+
+def grown(runs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, start, end, owners) of runs (row, run, low, high, first, last, owners), extended to both sides as far as their text equals the owners'."""
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("first").alias("x")), F.struct(F.lit(1).alias("side"), F.col("last").alias("x"))))
+    asks = runs.select("row", "run", sides.alias("s")).select("row", "run", "s.side", F.struct(F.col("s.x.owner").alias("row"), F.col("s.x.digest").alias("digest"), F.col("s.side").alias("side")).alias("theirs"))
+    owners = checkpoint(asks.groupBy("theirs").agg(F.count("*").alias("n")))
+    # what many runs ask of one owner is asked once, and every text is read once for all that is asked of it
+    mine = runs.select("row", F.struct("run", "low", "high", F.col("first.ix").alias("first"), F.abs("last.ix").alias("last")).alias("mine"))
+    told = owners.select("theirs.row", F.struct("theirs.digest", "theirs.side").alias("asked"))
+    asked = mine.unionByName(told, allowMissingColumns=True).groupBy("row").agg(F.collect_list("mine").alias("runs"), F.collect_list("asked").alias("asked"))
+    shape = "places array<struct<run:int,start:int,end:int,left_at:int,left:string,right_at:int,right:string>>, parts array<struct<digest:struct<d1:bigint,d2:bigint>,side:int,end:int,part:string>>"
+    read = checkpoint(python_stage(rows.join(asked, "row"), ["text", "runs", "asked"], shape, beside).select("row", "places", "parts"))
+    parts = read.select("row", F.explode("parts").alias("p")).select(F.struct("row", "p.digest", "p.side").alias("theirs"), F.struct("p.end", "p.part").alias("other"))
+    theirs = owners.join(parts, "theirs")
+    at = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("p.left").alias("part")), F.struct(F.lit(1).alias("side"), F.col("p.right").alias("part"))))
+    own = read.select("row", F.explode("places").alias("p")).select("row", "p.run", at.alias("s")).select("row", "run", "s.side", "s.part")
+    both = lookup(asks.join(own, ["row", "run", "side"]), "theirs", theirs, max(1, 2 * runs.count()), "row")
+    more = python_stage(both.select("row", "run", "side", F.col("other.end").alias("from_end"), "part", F.col("other.part").alias("other")), ["part", "other", "side"], "more int", lambda a, b, side: (common(a, b, side),))
     left = F.col("side") == 0
-    by_run = more.groupBy("doc_id", "run").agg(F.max(F.when(left, F.col("more"))).alias("left"), F.max(F.when(~left, F.col("more"))).alias("right"), F.max(F.when(left, F.col("from_end"))).alias("from_end"))
-    out = runs.join(by_run, ["doc_id", "run"], "left")
-    start = F.least("start", F.col("first.at") - F.coalesce("left", F.lit(0)))
-    # a repeat inside a document leaves its first place whole
-    start = F.when(F.col("first.owner") == F.col("doc_id"), F.least("start", F.greatest(start, "from_end"))).otherwise(start)
-    return out.select("doc_id", start.alias("start"), F.greatest("end", F.col("last.end") + F.coalesce("right", F.lit(0))).alias("end"), "owners")
+    by_run = more.groupBy("row", "run").agg(F.max(F.when(left, F.col("more"))).alias("left"), F.max(F.when(~left, F.col("more"))).alias("right"), F.max(F.when(left, F.col("from_end"))).alias("from_end"))
+    places = read.select("row", F.explode("places").alias("p")).select("row", "p.run", "p.start", "p.end", "p.left_at", "p.right_at")
+    out = runs.join(places, ["row", "run"]).join(by_run, ["row", "run"])
+    start = F.least("start", F.col("left_at") - F.col("left"))
+    # a repeat inside a text leaves its first place whole
+    start = F.when(F.col("first.owner") == F.col("row"), F.least("start", F.greatest(start, "from_end"))).otherwise(start)
+    return out.select("row", start.alias("start"), F.greatest("end", F.col("right_at") + F.col("right")).alias("end"), "owners")
 
 
 def discard(df: DataFrame) -> None:
@@ -191,37 +227,43 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """(doc_id, start, end, first_doc_ids): stretches of docs (doc_id, text) that an earlier place holds; places in
-    code points, end exclusive, length at least min_run of them; first_doc_ids are the documents that keep them."""
-    every = checkpoint(chunks(docs))
-    firsts = every.filter("not again").groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
-    shared = checkpoint(firsts.filter("n > 1"))
-    total = every.count()
-    owned = lookup(every, "digest", shared, max(1, total), "doc_id")
-    copied = owned.filter("again or owner < doc_id").select("doc_id", "ix", "start", "end", "digest", F.coalesce("owner", "doc_id").alias("owner"))
-    order = Window.partitionBy("doc_id").orderBy("ix", "start")
-    runs = copied.withColumn("run", F.col("ix") - F.row_number().over(order))
-    whole = Window.partitionBy("doc_id", "run")
-    runs = runs.withColumns({"low": F.min("start").over(whole), "high": F.max("end").over(whole)})
-    chunk = lambda at: F.struct("owner", at.alias("at"), "digest", "end")
-    first = F.min(F.when(F.col("start") - F.col("low") <= NEAR, chunk(F.col("start")))).alias("first")
-    last = F.min(F.when(F.col("high") - F.col("end") <= NEAR, chunk(-F.col("start")))).alias("last")
-    runs = checkpoint(runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), first, last, F.array_sort(F.collect_set("owner")).alias("owners")))
+def row_spans(rows: DataFrame, min_run: int) -> DataFrame:
+    """(row, start, end, owners): stretches of rows (row, text) that an earlier place holds."""
+    every = checkpoint(chunks(rows))
+    copied = copies(every)
+    runs = copied.withColumn("run", F.col("ix") - F.row_number().over(Window.partitionBy("row").orderBy("ix")))
+    whole = Window.partitionBy("row", "run")
+    runs = runs.withColumns({"low": F.min("ix").over(whole), "high": F.max("ix").over(whole)})
+    first = F.min(F.when(F.col("ix") - F.col("low") < NEAR, F.struct("owner", "ix", "digest"))).alias("first")
+    last = F.min(F.when(F.col("high") - F.col("ix") < NEAR, F.struct("owner", (-F.col("ix")).alias("ix"), "digest"))).alias("last")
+    runs = checkpoint(runs.groupBy("row", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"), first, last, F.array_sort(F.collect_set("owner")).alias("owners")))
     discard(every)
-    discard(shared)
     # extended runs may meet
-    by_start = Window.partitionBy("doc_id").orderBy("start", "end")
+    by_start = Window.partitionBy("row").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    joined = grown(runs, docs).withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = grown(runs, rows).withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
     return (
-        joined.groupBy("doc_id", "span")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("owners")))).alias("first_doc_ids"))
+        joined.groupBy("row", "span")
+        .agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("owners")))).alias("owners"))
         .filter(F.col("end") - F.col("start") >= min_run)
-        .select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "first_doc_ids")
+        .select("row", "start", "end", "owners")
     )
 
 
+def repeated_spans(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+    """(doc_id, start, end, first_doc_ids): stretches of docs (doc_id, text) that an earlier place holds; places in
+    code points, end exclusive, length at least min_run of them; first_doc_ids are the distinct documents that keep them."""
+    keyed, plain = row_keys(docs.select("doc_id", "text"))
+    spans = row_spans(keyed.select(F.col("__row").alias("row"), "__whole.text"), min_run)
+    if plain:
+        return spans.select(F.col("row").alias("doc_id"), "start", "end", F.col("owners").alias("first_doc_ids"))
+    ids = keyed.select(F.col("__row").alias("row"), F.col("__whole.doc_id").cast("long").alias("doc_id"))
+    spans = checkpoint(spans)
+    named = spans.select("row", "start", "end", F.explode("owners").alias("owner")).join(ids.select(F.col("row").alias("owner"), F.struct("doc_id").alias("first")), "owner")
+    named = named.groupBy("row", "start", "end").agg(F.array_sort(F.collect_set("first")).alias("first"))
+    return named.join(ids, "row").select("doc_id", "start", "end", F.transform("first", lambda x: x["doc_id"]).alias("first_doc_ids"))
+
+
 def without(text: str | None, spans: list | None) -> str | None:
     """text without its spans (start, end)."""
     if not spans:
@@ -234,11 +276,12 @@ def without(text: str | None, spans: list | None) -> str | None:
 
 
 def remove_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """docs with text less what an earlier place holds."""
-    spans = repeated_spans(docs.select("doc_id", "text"), min_run).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left")
-    cut = python_stage(joined, ["text", "__spans"], "__text string", lambda t, s: (without(t, s),))
-    return cut.withColumn("text", F.col("__text")).select(*docs.columns)
+    """docs with each row's text less what an earlier place holds."""
+    keyed, _ = row_keys(docs)
+    rows = keyed.select(F.col("__row").alias("row"), F.col("__whole.text").alias("text"), "__whole")
+    spans = row_spans(rows.select("row", "text"), min_run).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    cut = python_stage(rows.join(spans, "row", "left"), ["text", "spans"], "text string", lambda t, s: (without(t, s),))
+    return cut.select(*[F.col("text") if c == "text" else F.col(f"__whole.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

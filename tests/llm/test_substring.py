@@ -34,8 +34,8 @@ def test_chunks_cover_the_text(text):
 
 def test_insertions_move_only_near_cuts():
     text = prose(2, 2000)
-    before = set(substring.chunk_text(text)[0].tolist())
-    after = set(substring.chunk_text(text[:300] + "inserted words " + text[300:])[0].tolist())
+    before = set(substring.chunk_text(text)[0])
+    after = set(substring.chunk_text(text[:300] + "inserted words " + text[300:])[0])
     assert len(after - before) <= 6
 
 
@@ -58,13 +58,65 @@ def test_repeated_passages_of_51_words_are_found(spark):
 def test_edges(spark):
     rows = [(1, None), (2, ""), (3, prose(7, 80)), (3, prose(7, 80)), (4, prose(7, 80)), (None, prose(7, 80)), (5, "short"), (6, prose(8, 60) + prose(8, 60))]
     df = frame(spark, rows)
-    got = {(r["doc_id"], tuple(r["first_doc_ids"])) for r in substring.repeated_spans(df).collect()}
-    assert got == {(4, (3,)), (6, (6,))}
-    kept = {r["doc_id"]: r["text"] for r in substring.remove_repeats(df).collect()}
-    assert kept[1] is None and kept[3] == prose(7, 80) and kept[None] == prose(7, 80) and len(kept[4]) < 60 and len(kept[6]) < len(rows[-1][1])
+    got = sorted((str(r["doc_id"]), tuple(r["first_doc_ids"])) for r in substring.repeated_spans(df).collect())
+    assert got == [("3", (3,)), ("4", (3,)), ("6", (6,)), ("None", (3,))]
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in substring.remove_repeats(df).collect())
+    assert [(k, t) for k, t in kept if k != "6"] == [("1", ""), ("2", ""), ("3", ""), ("3", prose(7, 80)), ("4", ""), ("5", "short"), ("None", "")]
+    assert len(dict(kept)["6"]) < len(rows[-1][1])
     assert substring.repeated_spans(frame(spark, [])).count() == 0
 
 
+def test_rows_that_share_an_identifier_are_cut_by_their_own_spans(spark):
+    a, b, c = prose(70, 120), prose(71, 120), prose(72, 120)
+    rows = [(1, a, "p"), (5, a, "q"), (5, a, "r"), (5, b, "s"), (None, c, "t"), (None, b, "u"), (9, c, "v")]
+    df = frame(spark, rows, "doc_id bigint, text string, row string")
+    assert {r["row"]: r["text"] for r in substring.remove_repeats(df).collect()} == {"p": a, "q": "", "r": "", "s": b, "t": "", "u": "", "v": c}
+    spans = sorted((str(r["doc_id"]), r["start"], r["end"], tuple(r["first_doc_ids"])) for r in substring.repeated_spans(df).collect())
+    assert spans == sorted([("5", 0, len(a), (1,)), ("5", 0, len(a), (1,)), ("None", 0, len(b), (5,)), ("None", 0, len(c), (9,))])
+
+
+def plain_copies(texts):
+    """Characters of each text in chunks that an earlier text, or an earlier place of it, holds."""
+    seen, out = set(), {}
+    for k in sorted(texts):
+        out[k] = set()
+        for d, s, e in zip(*substring.chunk_text(texts[k]), strict=True):
+            if d in seen:
+                out[k] |= set(range(s, e))
+            seen.add(d)
+    return out
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_every_copied_chunk_counts_with_runs_of_one(spark, monkeypatch, hot):
+    if hot:  # every bucket counts as hot: digests go by aggregation
+        monkeypatch.setattr(substring, "hot_keys", lambda counts, total: counts)
+    rng, pieces = random.Random(3), [prose(800 + i, rng_n) for i, rng_n in enumerate([6, 12, 20, 40] * 5)]
+    texts = {i: " ".join(rng.sample(pieces, 4) + [prose(i, 30)]) + "the " * (50 * (i % 5 == 0)) for i in range(50)}
+    got = {k: set() for k in texts}
+    for r in substring.repeated_spans(frame(spark, list(texts.items())), 1).collect():
+        got[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    want = plain_copies(texts)
+    assert all(want[k] <= got[k] for k in texts) and any(want.values())
+    # what lies beyond whole chunks stands in an owner's text as well
+    whole = {k: {s + i for s in range(len(t)) for i in range(8) if any(t[s : s + 8] in texts[j] for j in texts if j < k) or t.find(t[s : s + 8]) < s} for k, t in texts.items()}
+    assert all(got[k] - want[k] <= whole[k] for k in texts)
+
+
+def test_runs_count_from_min_run(spark):
+    a = prose(90, 200)
+    df = frame(spark, [(1, a), (2, prose(91, 50) + a[300:450] + prose(92, 50))])
+    n = [r["end"] - r["start"] for r in substring.repeated_spans(df, 1).collect()]
+    assert len(n) == 1 and 150 <= n[0] <= 152
+    assert substring.repeated_spans(df, n[0]).count() == 1 and substring.repeated_spans(df, n[0] + 1).count() == 0
+
+
+def test_very_long_texts(spark):
+    long_ = " ".join(f"w{i * 7919 % 999983}" for i in range(150_000))
+    got = substring.repeated_spans(frame(spark, [(1, long_), (2, long_[500_000:900_000])])).collect()
+    assert [(r["doc_id"], r["start"], r["end"]) for r in got] == [(2, 0, 400_000)]
+
+
 def test_small_tables(spark, small):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     holders = collections.defaultdict(set)
@@ -84,7 +136,7 @@ def test_passages_are_extended_beyond_their_chunks(spark):
     texts = dict(rows)
     got = {r["doc_id"]: texts[r["doc_id"]][r["start"] : r["end"]] for r in substring.repeated_spans(frame(spark, rows)).collect()}
     whole = [i for i in range(40) if got.get(100 + i) == prose(900 + i, 22)]
-    held = [i for i in range(40) if set(substring.chunk_text(texts[i])[0].tolist()) & set(substring.chunk_text(texts[100 + i])[0].tolist())]
+    held = [i for i in range(40) if set(substring.chunk_text(texts[i])[0]) & set(substring.chunk_text(texts[100 + i])[0])]
     assert len(held) > 25 and whole == [i for i in held if len(prose(900 + i, 22)) >= substring.MIN_RUN]
 
 
