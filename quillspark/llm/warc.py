@@ -3,12 +3,15 @@
 Every page becomes three records: request and metadata name, by WARC-Concurrent-To, the response (or
 revisit) of the same capture. Of records with equal payloads of at least min_bytes bytes that with the
 smallest page_id is a response; the others are revisits that refer to it and store no payload. Archives
-are gzip files written by Spark's own writer, so they reach any store that Spark does; they are read as
-whole files of bounded size and parsed record by record, by Content-Length.
-
-Null html is the empty payload, null url the empty target. Equal rows are captures of their own: as many
-come back as were written. Rows without page_id come back without; they are responses unless a row that
-has one holds the same payload. An empty table gives no records. Columns beyond page_id, url, html are ignored.
+are gzip files written by Spark's own writer, so they reach any store that Spark does; a file holds the pages of one
+class of sizes and so many of them that its bytes are bounded. They are read as whole files and parsed record by
+record, by Content-Length.
+
+A capture is known by page_id, payload digest, a hash of the url and, where rows agree in all of these, a copy number:
+every row is a capture of its own, with its own url. Of rows that share the smallest page_id all are responses, and
+revisits refer to the one with the least url hash. Null html is the empty payload, null url the empty target. Rows
+without page_id come back without; they are responses unless a row that has one holds the same payload. An empty
+table gives no records. Columns beyond page_id, url, html are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from quillspark.llm.common import BATCH_CHARS, checkpoint, shared_dir, table
 from quillspark.llm.components import lookup
 
 END = "\r\n\r\n"
-#: Pages per archive, so that no file outgrows the task that reads it.
-PAGES_PER_FILE = 2000
+#: Archives by the bytes of a payload: (largest payload, pages per archive), so that a file holds 128 MB of payload at most, or one page.
+CLASSES = ((64 << 10, 2000), (8 << 20, 16), (1 << 31, 1))
+#: Copies of one row that a task writes at most.
+COPIES = 1000
 #: Groups of equal payloads that may be broadcast, some 100 bytes each; beyond, they are joined by a shuffle.
 MOST_BROADCAST = 100_000
 BASE32_HEX, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -39,8 +44,24 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), BASE32_HEX, BASE32)
 
 
-def capture_id(page: Column, digest: Column) -> Column:
-    return F.concat(F.lit("<urn:capture:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), digest, F.lit(">"))
+def capture_id(page: Column, digest: Column, url: Column, copy: Column) -> Column:
+    """<urn:capture:PAGE:DIGEST:URL:COPY> of a page_id, a digest, a url's hash and the number of the copy."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.concat(F.lit("<urn:capture:"), F.concat_ws(":", text(page), digest, F.lower(F.hex(url)), text(copy)), F.lit(">"))
+
+
+def numbered(known: DataFrame, equal: DataFrame) -> DataFrame:
+    """known with copy, 0 for all rows but those of equal (page_id, digest, url_hash, n): their n copies are put together, then dealt and numbered from 0."""
+    names = ["page_id", "digest", "url_hash"]
+    if equal.isEmpty():
+        return known.withColumn("copy", F.lit(0).cast("long"))
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"e.{c}")) for c in names]
+    single = known.alias("k").join(equal.alias("e"), same, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    rest = [c for c in known.columns if c not in names]
+    one = known.alias("k").join(equal.drop("n").alias("e"), same, "left_semi").groupBy(*names).agg(*[F.any_value(c).alias(c) for c in rest], F.count("*").alias("n"))
+    blocks = one.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)))).repartition("digest", "page_id", "url_hash", "block")
+    low = F.col("block") * COPIES
+    return single.unionByName(blocks.withColumn("copy", F.explode(F.sequence(low, F.least(low + COPIES, F.col("n")) - 1))).drop("n", "block"))
 
 
 def _headers(*pairs: tuple[str, Column | str]) -> Column:
@@ -50,22 +71,29 @@ def _headers(*pairs: tuple[str, Column | str]) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, fetched_at: str = "2024-01-01T00:00:00Z") -> None:
-    """Write the records of pages (page_id, url, html) below path."""
+    """Write the records of pages (page_id, url, html) below path, a folder for each class of sizes."""
     known = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A"), " ", "%20").alias("url"),
         F.coalesce("html", F.lit("")).alias("payload"),
-    ).withColumn("digest", base32_sha1(F.col("payload")))
-    equal = known.filter(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
-    equal = checkpoint(equal.filter("n > 1"))
+    ).withColumns({"digest": base32_sha1(F.col("payload")), "url_hash": F.xxhash64("url")})
+    # rows by identity, combined before the shuffle: what repeats, and the sizes there are
+    seen = checkpoint(known.groupBy("digest", "page_id", "url_hash").agg(F.count("*").alias("n"), F.max(F.octet_length("payload")).alias("bytes")))
+    copied = checkpoint(seen.filter("n > 1").drop("bytes"))
+    least = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url_hash")
+    equal = seen.filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.sum("n").alias("n"), F.min(least).alias("least"))
+    equal = checkpoint(equal.filter("n > 1").select("digest", "n", F.col("least.page_id").alias("first"), F.col("least.url_hash").alias("first_url")))
+    rows = numbered(known, copied)
     if equal.count() <= MOST_BROADCAST:
-        rows = known.join(F.broadcast(equal.drop("n")), "digest", "left")
+        rows = rows.join(F.broadcast(equal.drop("n")), "digest", "left")
     else:
-        rows = lookup(known, "digest", equal, max(1, known.count()), "page_id")
+        rows = lookup(rows, "digest", equal, max(1, seen.agg(F.sum("n")).first()[0]), "page_id")
     revisit = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
-    own, length = capture_id(F.col("page_id"), F.col("digest")), F.octet_length("payload").cast("string")
+    size = F.octet_length("payload")
+    own, length = capture_id(F.col("page_id"), F.col("digest"), F.col("url_hash"), F.col("copy")), size.cast("string")
     rows = rows.select(
         "*",
+        size.alias("size"),
         revisit.alias("revisit"),
         own.alias("id"),
         F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), length, F.lit(END)).alias("http"),
@@ -76,12 +104,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, fetched_at:
     common = (("WARC-Date", fetched_at), ("WARC-Target-URI", F.col("url")))
     named = lambda kind: F.concat(F.lit("<urn:"), F.lit(kind), F.substring("id", 6, 1 << 20))
     sized = lambda c: F.octet_length(c).cast("string")
+    refers = capture_id(F.col("first"), F.col("digest"), F.col("first_url"), F.lit(0))
     records = [
         F.concat(_headers(("WARC-Type", "request"), ("WARC-Record-ID", named("request-")), *common, ("WARC-Concurrent-To", F.col("id")), ("Content-Type", "application/http;msgtype=request"), ("Content-Length", sized("ask"))), F.col("ask")),
         F.concat(
             _headers(
                 ("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")), ("WARC-Record-ID", F.col("id")), *common, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-                ("WARC-Profile", F.when(F.col("revisit"), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", F.when(F.col("revisit"), capture_id(F.col("first"), F.col("digest")))),
+                ("WARC-Profile", F.when(F.col("revisit"), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", F.when(F.col("revisit"), refers)),
                 ("Content-Type", "application/http;msgtype=response"), ("Content-Length", sized(block)),
             ),
             block,
@@ -89,7 +118,12 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, fetched_at:
         F.concat(_headers(("WARC-Type", "metadata"), ("WARC-Record-ID", named("metadata-")), *common, ("WARC-Concurrent-To", F.col("id")), ("Content-Type", "application/warc-fields"), ("Content-Length", sized("fields"))), F.col("fields")),
     ]
     # the writer ends each row by the record terminator, so the last record of a row has its own
-    rows.select(F.concat_ws(END, *records).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", PAGES_PER_FILE).mode("overwrite").text(path)
+    ready, low = rows.select("size", F.concat_ws(END, *records).alias("value")), -1
+    largest = seen.agg(F.max("bytes")).first()[0]
+    for i, (high, per_file) in enumerate(CLASSES):
+        if i == 0 or (largest or 0) > low:
+            ready.filter((F.col("size") > low) & (F.col("size") <= high)).select("value").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).mode("overwrite").text(f"{path}/class-{i}")
+        low = high
 
 
 def parse_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -127,7 +161,7 @@ def record_row(headers: dict[str, str], block: bytes) -> tuple:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record; payload_length and payload_digest of a response are those of the bytes read, of a revisit those it states."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
     names = [x.split()[0] for x in RECORD.split(", ")]
     kinds = [{"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in RECORD.split(", ")]
 
@@ -169,11 +203,9 @@ def assemble(records: DataFrame) -> DataFrame:
     }
     kinds = {"request": ["request"], "response": ["response", "revisit"], "metadata": ["metadata"]}
     picked = [F.any_value(F.when(F.col("record_type").isin(kinds[p]), F.col(c)), F.lit(True)).alias(f"{p}_{c}") for p, cols in part.items() for c in cols]
-    copies = F.count_if(F.col("record_type").isin(kinds["response"]))
-    one = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(*picked, copies.alias("copies"))
+    one = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(*picked)
     nested = [F.struct(*[F.col(f"{p}_{c}").alias(c) for c in cols]).alias(p) for p, cols in part.items()]
-    again = one.filter("copies > 1").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy")
-    return one.filter("copies <= 1").union(again).select("capture_id", *nested)
+    return one.select("capture_id", *nested)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def test_round_trip(spark, tmp_path):
 def test_small_payloads_are_never_revisits(spark, tmp_path, min_bytes):
     path = f"{tmp_path}/w"
     warc.write_archives(frame(spark, ROWS, SCHEMA), path, min_bytes)
-    got = warc.assemble(warc.read_archives(spark, path)).selectExpr("metadata.page_id", "response.payload_length", "response.payload_digest", "response.record_type", "CAST(regexp_extract(response.refers_to, 'capture:([0-9]+)', 1) AS bigint)")
+    got = warc.assemble(warc.read_archives(spark, path)).selectExpr("metadata.page_id", "response.payload_length", "response.payload_digest", "response.record_type", "CAST(regexp_extract(response.refers_to, 'capture:([0-9]+):', 1) AS bigint)")
     assert sorted(map(tuple, got.collect()), key=str) == want(ROWS, min_bytes)
 
 
@@ -50,6 +50,35 @@ def test_transactions_hold_all_records(spark, tmp_path):
     assert bytes(by[5]["payload"]).decode() == ROWS[0][2] and by[9]["payload"] is None and "\n" not in by[5]["target_uri"]
 
 
+def test_rows_that_agree_in_page_and_payload_keep_their_urls(spark, tmp_path):
+    rows = [(1, "http://a", "x"), (1, "http://b", "x"), (1, "http://b", "x"), (2, "http://a", "x"), (None, "http://c", "x"), (None, "http://c", "x"), (3, "http://d", "y" * 70_000), (3, None, "y" * 70_000)]
+    path = f"{tmp_path}/w"
+    warc.write_archives(frame(spark, [(*r, "p") for r in rows], SCHEMA), path)
+    records = warc.read_archives(spark, path)
+    ids = [r["record_id"] for r in records.select("record_id").collect()]
+    assert len(ids) == len(set(ids)) == 3 * len(rows)
+    got = warc.assemble(records).collect()
+    assert sorted((str(r["metadata"]["page_id"]), r["response"]["target_uri"], r["request"]["target_uri"], r["response"]["payload_length"]) for r in got) == sorted((str(p), u or "", u or "", len(h)) for p, u, h in rows)
+    known = {r["capture_id"]: r for r in got}
+    revisits = [r for r in got if r["response"]["record_type"] == "revisit"]
+    assert len(revisits) == 3 and all(known[r["response"]["refers_to"]]["metadata"]["page_id"] == 1 for r in revisits)
+
+
+def test_many_copies_of_one_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "COPIES", 7)
+    got = warc.op10_warc(spark, tables(spark, tmp_path, pages=frame(spark, [(4, "u", "same", "p")] * 60 + [(5, "u", "same", "p")], SCHEMA))).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got) == sorted([(4, "response", None)] * 60 + [(5, "revisit", 4)], key=str)
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "CLASSES", ((10, 3), (100, 2), (1 << 31, 1)))
+    rows = [(i, "u", "a" * (i % 3 * 60) + str(i), "p") for i in range(30)]
+    path = f"{tmp_path}/w"
+    warc.write_archives(frame(spark, rows, SCHEMA).coalesce(1), path)
+    assert [len(list((tmp_path / "w" / f"class-{i}").glob("*.gz"))) for i in range(3)] == [4, 5, 10]
+    assert warc.assemble(warc.read_archives(spark, path)).count() == 30
+
+
 def test_cut_archives_are_refused():
     with pytest.raises(ValueError):
         list(warc.parse_records(io.BytesIO(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")))
