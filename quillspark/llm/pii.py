@@ -1,15 +1,17 @@
 """Personal data by anchor expansion: Aho-Corasick finds cues, local parsers expand and validate each.
 
 Base kinds (email, ip, card, phone) equal the leftmost non-overlapping matches of their patterns over the
-whole text: every match lies in one maximal run of its kind's characters that holds an anchor, so the
-parser matches the pattern inside that run. Beyond them the method adds, by their own cues:
+whole text. An address is expanded from its at-sign once to the left and once to the right, a phone number from its
+plus sign; runs of digits are anchors of their own. Every parser reads a character a fixed number of times at most, so
+a text of any length or make takes time in proportion. Beyond the base kinds the method adds, by their own cues:
 
   url      a URL with user information (scheme://user:secret@host)
   iban     two letters, two digits and 11 to 30 letters or digits that pass the mod-97 check
   account  6 to 20 digits or letters and digits after an identifier cue (account, passport, ssn, ...)
   secret   a value of 16 or more characters after a credential cue (token, password, api_key, secret)
 
-Spans are code points, end exclusive. Null text is the empty text: no spans. Equal rows give equal rows.
+Spans are code points, end exclusive. Null text is the empty text: no spans. Of an IBAN's possible ends the last valid
+one counts. Equal rows give equal rows, whatever their identifiers; a column named like an output is replaced.
 """
 
 from __future__ import annotations
@@ -23,24 +25,20 @@ from quillspark.llm.common import python_stage, table
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("url", "iban", "account", "secret")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The parts of the base patterns, possessive where nothing could be given back.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])*+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: The characters of each kind's runs.
-RUNS = {
-    "email": frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@"),
-    "ip": frozenset("0123456789."),
-    "card": frozenset("0123456789 -"),
-    "phone": frozenset("0123456789 ().-"),
-}
 ACCOUNT_CUES = ("account", "acct", "passport", "ssn", "tax id", "customer id", "iban", "konto", "cuenta", "compte")
 SECRET_CUES = ("token", "password", "passwd", "api_key", "apikey", "secret")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://", "redis://")
-ACCOUNT = re.compile(r"(?:\s*(?:no|number|nr|num)\b\.?)?\s{0,3}[:#=]?\s{0,3}((?=[A-Z0-9-]*[0-9]{3})[A-Z0-9][A-Z0-9-]{4,22}[A-Z0-9])(?![A-Za-z0-9])")
+ACCOUNT = re.compile(r"(?:\s*(?:no|number|nr|num)\b\.?)?\s{0,3}[:#=]?\s{0,3}((?=[A-Z0-9-]{0,21}[0-9]{3})[A-Z0-9][A-Z0-9-]{4,22}[A-Z0-9])(?![A-Za-z0-9])")
 SECRET = re.compile(r"\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=-]{16,})")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}")
-URL_USER = re.compile(r"[^\s/@:\"'<>]+:[^\s/@\"'<>]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
+#: Without width, so that one that fails hides none that begins inside it.
+IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}))")
+URL_USER = re.compile(r"[^\s/@:\"'<>]++:[^\s/@\"'<>]++@[A-Za-z0-9.-]++(?::[0-9]+)?")
 
 
 @lru_cache(maxsize=1)
@@ -49,7 +47,7 @@ def cues():
 
     found = ahocorasick.Automaton()
     for word, kinds in {
-        "@": ("email",), **{d: ("digit",) for d in "0123456789"}, "+": ("phone",),
+        "@": ("email",), "+": ("phone",),
         **{c: ("account",) for c in ACCOUNT_CUES}, **{c: ("secret",) for c in SECRET_CUES}, **{s: ("url",) for s in SCHEMES},
     }.items():
         found.add_word(word, (kinds[0], len(word)))
@@ -72,79 +70,74 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def mod97(iban: str) -> bool:
-    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
-
-
-def run_around(text: str, at: int, low: int, allowed: frozenset) -> tuple[int, int]:
-    """The maximal run of allowed characters around at, not before low."""
-    start = at
-    while start > low and text[start - 1] in allowed:
-        start -= 1
-    end = at + 1
-    while end < len(text) and text[end] in allowed:
-        end += 1
-    return start, end
-
-
-def valid(kind: str, found: str) -> bool:
-    if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in found.split("."))
-    digits = "".join(c for c in found if "0" <= c <= "9")
-    if kind == "card":
-        return 13 <= len(digits) <= 19 and luhn(digits)
-    return kind == "email" or 9 <= len(digits) <= 15
+def iban_end(found: str, after: str) -> int:
+    """The last place in found, which begins like an IBAN, at which a valid one of 15 characters or more ends, 0 if there is none; after is the character behind found."""
+    head = int("".join(str(int(c, 36)) for c in found[:4]))
+    end, n, value = 0, 4, 0
+    for i in range(4, len(found)):
+        c = found[i]
+        if c == " ":
+            continue
+        n += 1
+        digit = int(c, 36)
+        value = (value * (10 if digit < 10 else 100) + digit) % 97
+        if n >= 15 and (value * 1_000_000 + head) % 97 == 1 and not (found[i + 1] if i + 1 < len(found) else after).isalnum():
+            end = i + 1
+    return end
+
+
+def emails(text: str, signs: list[int]) -> list[tuple[int, int]]:
+    """Addresses around the at-signs at those places; each character is read once to the left and once to the right of a sign."""
+    out, low = [], 0
+    for at in signs:
+        start = at
+        while start > low and text[start - 1] in LOCAL:
+            start -= 1
+        low = max(low, at + 1)
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            out.append((start, m.end()))
+            low = m.end()
+    return out
 
 
 def spans_of(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span, by kind as listed in BASE and ADDED, then start."""
     text = text or ""
     anchors: dict[str, list[int]] = {}
-    low = folded(text)
-    for end, (kind, n) in cues().iter(low):
-        anchors.setdefault(kind, []).append(end - n + 1 if kind in ("email", "digit", "phone") else end + 1)
-    if not anchors:
-        return []
-    out: list[tuple[str, int, int]] = []
-    digits = anchors.get("digit", [])
-
-    def expand(kind: str, places: list[int], pattern: re.Pattern) -> None:
-        done = 0
-        for at in places:
-            if at >= done:
-                start, end = run_around(text, at, done, RUNS[kind])
-                out.extend((kind, m.start(), m.end()) for m in pattern.finditer(text, start, end) if valid(kind, m[0]))
-                done = end
-
-    expand("email", anchors.get("email", []), EMAIL)
-    expand("ip", [d for d in digits if text[d + 1 : d + 2] == "." or text[d - 1 : d] == "."], IP)
-    expand("card", digits, CARD)
+    for end, (kind, n) in cues().iter(folded(text)):
+        anchors.setdefault(kind, []).append(end - n + 1 if kind in ("email", "phone") else end + 1)
+    out: list[tuple[str, int, int]] = [("email", s, e) for s, e in emails(text, anchors.get("email", ()))]
+    for m in DOTTED.finditer(text):
+        parts = m[0].split(".")
+        at = m.start()
+        for i in range(0, len(parts) - 3, 4):  # four numbers at a time, as the pattern takes them
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p) <= 3 or len(p.lstrip("0")) <= 3 for p in four) and all(int(p.lstrip("0") or "0") <= 255 for p in four):
+                out.append(("ip", at, end))
+            at = end + 1
+    for m in CARD.finditer(text):
+        if m.end() - m.start() >= 13:
+            digits = m[0].replace(" ", "").replace("-", "")
+            if 13 <= len(digits) <= 19 and luhn(digits):
+                out.append(("card", m.start(), m.end()))
     done = 0
-    for at in anchors.get("phone", []):  # a sign starts a match; its run follows it
-        if at >= done and text[at + 1 : at + 2] in RUNS["phone"]:
-            end = run_around(text, at + 1, at + 1, RUNS["phone"])[1]
-            if m := PHONE.match(text, at, end):
-                done = m.end()
-                if valid("phone", m[0]):
-                    out.append(("phone", m.start(), m.end()))
-    for at in anchors.get("url", []):
+    for at in anchors.get("phone", ()):
+        if at >= done and (m := PHONE.match(text, at)):
+            done = m.end()
+            if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
+                out.append(("phone", m.start(), m.end()))
+    for at in anchors.get("url", ()):
         if m := URL_USER.match(text, at):
             out.append(("url", m.start(), m.end()))
     last = 0
-    for at in digits:  # an IBAN's check digits stand behind two capital letters
-        if at >= last and at >= 2 and (m := IBAN.match(text, at - 2)):
-            whole, stop = m[0].replace(" ", ""), m.end()
-            while len(whole) >= 15:
-                if mod97(whole) and not text[stop : stop + 1].isalnum():
-                    out.append(("iban", m.start(), stop))
-                    last = stop
-                    break
-                whole, stop = whole[:-1], stop - 1
-                while text[stop - 1] == " ":
-                    stop -= 1
+    for m in IBAN.finditer(text):
+        if m.start() >= last and (n := iban_end(m[1], text[m.end(1) : m.end(1) + 1])):
+            last = m.start() + n
+            out.append(("iban", m.start(), last))
     for kind, pattern in (("account", ACCOUNT), ("secret", SECRET)):
         last = 0
-        for at in anchors.get(kind, []):
+        for at in anchors.get(kind, ()):
             if at >= last and (m := pattern.match(text, at)):
                 out.append((kind, m.start(1), m.end(1)))
                 last = m.end(1)

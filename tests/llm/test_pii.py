@@ -1,6 +1,8 @@
 import hashlib
 import re
+import time
 
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from quillspark.llm import pii
@@ -44,6 +46,40 @@ def test_base_spans_of_joined_pieces(parts):
     assert base(text) == plain(text)
 
 
+@pytest.mark.parametrize("piece", ["a", "a@", "1", "1.", "1 ", "+1", "+1(", "AA11 ", "account ", "account 1", "token=", "http://", "http://a:", "a@b.", ".", "12.34.56.78."])
+def test_long_texts_take_time_in_proportion(piece):
+    text = (piece * (5_000_000 // len(piece) + 1))[:5_000_000] + "@"
+    start = time.perf_counter()
+    pii.spans_of(text)
+    assert time.perf_counter() - start < 40
+
+
+@pytest.mark.parametrize("piece", ["a", "a@", "1", "1.", "1 ", "+1", "+1(", "a@b.", "12.34.56.78.", "9-", "a@b.c@d."])
+def test_long_runs_are_the_patterns(piece):
+    text = (piece * 700)[:700] + "@x.yz"
+    assert base(text) == plain(text)
+
+
+def plain_iban(text):
+    """The longest valid IBAN from each place on, none inside another."""
+    out, last = [], 0
+    for m in re.finditer(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}))", text):
+        for n in range(len(m[1]), 14, -1):
+            bare = m[1][:n].replace(" ", "")
+            if m[1][n - 1] != " " and len(bare) >= 15 and m.start() >= last and not text[m.start() + n : m.start() + n + 1].isalnum() and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1:
+                out.append(("iban", m.start(), m.start() + n))
+                last = m.start() + n
+                break
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", " ", "A", "1", "AA11 ", "."]), max_size=7))
+def test_ibans(parts):
+    text = "".join(parts)
+    assert [s for s in pii.spans_of(text) if s[0] == "iban"] == plain_iban(text)
+
+
 def test_added_kinds():
     text = 'see https://bob:pw@host.example/x iban GB82 WEST 1234 5698 7654 32 account no. AB-123456, token = "0123456789abcdef0123"'
     kinds = {k: text[s:e] for k, s, e in pii.spans_of(text)}
