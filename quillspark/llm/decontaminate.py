@@ -115,17 +115,18 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+_LEADS = lambda n: " || ' ' || ".join(["t", *[f"lead(t, {j}) OVER o" for j in range(1, n)]])
 ORACLE = f"""
-WITH d AS (SELECT doc_id, {_TOKENS} AS w FROM documents), b AS (SELECT item_id, {_TOKENS} AS w FROM benchmark),
+WITH dw AS (SELECT doc_id, row_id, unnest(w) AS t, generate_subscripts(w, 1) AS k FROM (SELECT doc_id, row_number() OVER () AS row_id, {_TOKENS} AS w FROM documents)),
+b AS (SELECT item_id, row_number() OVER () AS row_id, {_TOKENS} AS w FROM benchmark), bw AS (SELECT item_id, row_id, unnest(w) AS t, generate_subscripts(w, 1) AS k FROM b),
 i AS (
-  SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= {WORDS} THEN list_transform(range(1, len(w) - {WORDS - 2}), lambda k: array_to_string(w[k:k + {WORDS - 1}], ' '))
-                                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM b
+  SELECT DISTINCT item_id, s FROM (
+    SELECT item_id, {_LEADS(WORDS)} AS s FROM bw WINDOW o AS (PARTITION BY row_id ORDER BY k)
+    UNION ALL SELECT item_id, array_to_string(w, ' ') FROM b WHERE len(w) BETWEEN 1 AND {WORDS - 1}
+  ) WHERE s IS NOT NULL
 ), n AS (SELECT item_id, count(*) AS size FROM i GROUP BY item_id),
-x AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - {WORDS - 2}), lambda k: array_to_string(w[k:k + {WORDS - 1}], ' '))) AS s FROM d WHERE len(w) >= {WORDS}),
-short AS (SELECT DISTINCT len(w) AS n FROM b WHERE len(w) BETWEEN 1 AND {WORDS - 1}),
 y AS (
-  SELECT * FROM x UNION
-  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS s FROM d, short WHERE len(w) >= n
+  SELECT DISTINCT doc_id, unnest([{", ".join(_LEADS(j) for j in range(1, WORDS + 1))}]) AS s FROM dw WINDOW o AS (PARTITION BY row_id ORDER BY k)
 )
 SELECT y.doc_id, i.item_id, count(*) AS matched, n.size, count(*) / CAST(n.size AS DOUBLE) AS containment
 FROM y JOIN i USING (s) JOIN n USING (item_id) GROUP BY y.doc_id, i.item_id, n.size HAVING count(*) >= {THRESHOLD} * n.size - 1e-9
