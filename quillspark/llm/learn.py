@@ -15,11 +15,16 @@ def held_out(mod: int, rest: int):
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int, per_class: int = MAX_PER_CLASS) -> DataFrame:
-    """(doc_id, text, label) of at most per_class rows of each label 0 and 1 outside the held-out ones, those first by a hash of doc_id."""
+    """(doc_id, text, label) of at most per_class rows of each label 0 and 1 outside the held-out ones, those first by a hash of doc_id.
+
+    Of rows that share a doc_id the text with the least hash is taken, so that the sample is bounded and the same in every run.
+    An identifier that has both labels stands once for each.
+    """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).filter(~held_out(mod, rest)).distinct()
     order = F.xxhash64("doc_id")
     both = [known.filter(F.col("label") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(both[0].union(both[1])), "doc_id")
+    met = docs.select("doc_id", "text").join(F.broadcast(both[0].union(both[1])), "doc_id")
+    return met.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "label")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float, rounds: int = 50, intercept: bool = True) -> np.ndarray:

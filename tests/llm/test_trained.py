@@ -1,8 +1,11 @@
+import math
+import time
 import zlib
 from pathlib import Path
 
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from quillspark.llm import quality, toxicity
 from tests.llm.util import EDGES, frame, tables
@@ -16,7 +19,7 @@ def auc(score, label):
     return ((gap > 0) + 0.5 * (gap == 0)).mean()
 
 
-@pytest.mark.parametrize(("query", "label", "mod", "rest", "least"), [(quality.op9_quality, "quality", 5, 0, 0.98), (toxicity.op8_toxicity, "toxic", 4, 2, 0.93)])
+@pytest.mark.parametrize(("query", "label", "mod", "rest", "least"), [(quality.op9_quality, "quality", 5, 0, 0.98), (toxicity.op8_toxicity, "toxic", 4, 2, 0.96)])
 def test_held_out_accuracy(spark, query, label, mod, rest, least):
     sf = "/root/testdata/sf0.1"
     if not Path(sf).is_dir():
@@ -56,6 +59,81 @@ def test_folding():
     assert toxicity.words_of("1d10t ІDІΟT scu​m lo5er$$$ 15 cats") == ["idiot", "idiot", "scum", "loser", "cats"]
 
 
+def test_few_documents_of_a_language_are_enough(spark):
+    """sf0.01 has two labelled toxic German documents to learn from and four held out."""
+    sf = "/root/testdata/sf0.01"
+    if not Path(sf).is_dir():
+        pytest.skip("no test tables here")
+    got = toxicity.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert auc([r["score"] for r in got], [r["toxic"] for r in got]) > 0.98
+    for lang in ("en", "de", "fr"):
+        assert auc([r["score"] for r in got if r["lang"] == lang], [r["toxic"] for r in got if r["lang"] == lang]) > 0.95
+
+
+def plain_hits(model, text):
+    """Every term at every place, but where an exception covers it."""
+    words = toxicity.words_of(text)
+    whole = f" {' '.join(words)} "
+    places = lambda x: [i for i in range(len(whole)) if whole.startswith(x, i)]
+    shut = [(i, i + len(e) + 1) for e in model.exceptions for i in places(f" {e} ")]
+    best = {}
+    for t, w in model.terms:
+        for i in places(t):
+            if not any(a <= i and i + len(t) - 1 <= b for a, b in shut):
+                best[i] = max(best.get(i, 0), w)
+    total = sum(best.values())
+    return [max(best.values(), default=0.0), math.log1p(total), math.log1p(100 * total / (len(words) + 20))]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["trash", "can", "trashy", "low", "lowland", "idiot", "1d10t", "x", "a" * 45, "."]), max_size=25))
+def test_hits_are_brute_force(words):
+    model = toxicity.Model(((" a", 0.5), (" idiot ", 3.5), (" low", 2.0), (" trash", 2.5), (" trash ", 3.0)), ("lowland", "trash can", "can idiot"), (1.0, 0.5, 0.5, -2.0), 0.0)
+    text = " ".join(words)
+    assert model.hits(text) == pytest.approx(plain_hits(model, text))
+    assert model.score(text) == pytest.approx(1 / (1 + math.exp(2.0 - sum(w * x for w, x in zip(model.weights, plain_hits(model, text), strict=False)))))
+
+
+def test_scores_of_a_query_are_the_models(spark, tmp_path):
+    docs = [(i, ("such idiot words here " if i % 3 == 0 else "plain words here ") + f"n{chr(97 + i % 20)} " * 5) for i in range(60)] + [(None, "idiot"), (4, None)]
+    labels = [(i, 1 - (i % 3 == 0), int(i % 3 == 0)) for i in range(60)]
+    frames = tables(spark, tmp_path, documents=frame(spark, docs), labels=frame(spark, labels, LABELS))
+    model = toxicity.train(spark.read.parquet(f"{frames}/documents.parquet"), spark.read.parquet(f"{frames}/labels.parquet"))
+    plain = lambda t: 1 / (1 + math.exp(-sum(w * x for w, x in zip(model.weights, [*plain_hits(model, t), 1.0], strict=True))))
+    got = sorted(((r["doc_id"], r["score"]) for r in toxicity.op8_toxicity(spark, frames).collect()), key=str)
+    assert [s for _, s in got] == pytest.approx([s for _, s in sorted(((k, plain(t)) for k, t in docs), key=str)])
+    assert {t for t, _ in model.terms} & {" idiot ", " idi", " such ", " suc"}
+    known = quality.train(spark.read.parquet(f"{frames}/documents.parquet"), spark.read.parquet(f"{frames}/labels.parquet"))
+    gap = lambda t: sum(w * (x - c) / s for w, x, c, s in zip(known.weights, quality.features(t), known.center, known.scale, strict=True)) - known.threshold
+    got = sorted(((r["doc_id"], r["score"]) for r in quality.op9_quality(spark, frames).collect()), key=str)
+    assert [s for _, s in got] == pytest.approx([s for _, s in sorted(((k, 1 / (1 + math.exp(-gap(t)) * 0.7 / 0.3)) for k, t in docs), key=str)])
+
+
+def test_features_by_definition():
+    text = "Good words words HERE...  a , b !!\n\nline line\nline line\n1 2 3"
+    words, got = text.split(), dict(zip(quality.FEATURES, quality.features(text), strict=True))
+    d = len(words) + quality.SMOOTH
+    assert got["repeats"] == pytest.approx(sum(a == b for a, b in zip(words, words[1:], strict=False)) / d)
+    assert got["distinct"] == pytest.approx((len(set(words)) + quality.SMOOTH) / d) and got["lines"] == pytest.approx(text.count("\n") / d)
+    assert got["digits"] == pytest.approx(3 / (len(text) + 8 * quality.SMOOTH)) and got["log_words"] == pytest.approx(math.log(len(words) + 1))
+    assert got["repeated_lines"] == pytest.approx(1 / (4 + quality.SMOOTH)) and got["commonest"] == pytest.approx(4 / d)
+
+
+def test_learned_pairs_are_exceptions(spark, tmp_path):
+    docs = [(i, "scum of it all") for i in range(20)] + [(100 + i, "algae scum layer on ponds" if i < 6 else "ponds and fields") for i in range(80)]
+    labels = [(k, 1, int(k < 100)) for k, _ in docs]
+    model = toxicity.train(frame(spark, docs), frame(spark, labels, LABELS))
+    assert "algae scum" in model.exceptions and model.hits("algae scum ponds")[0] == 0 < model.hits("scum")[0]
+
+
+@pytest.mark.parametrize("piece", ["trash can ", "trash ", "x" * 45 + " ", "1d10t ", "@", "$a"])
+def test_long_texts_take_time_in_proportion(piece):
+    model = toxicity.Model(((" trash", 2.5), (" trash ", 3.0), (f" {'x' * 45} ", 1.0)), ("trash can",), (1.0, 0.5, 0.5, -2.0), 0.0)
+    start = time.perf_counter()
+    got = model.hits(piece * (5_000_000 // len(piece)))
+    assert time.perf_counter() - start < 40 and (got[0] > 0) == (piece in ("trash ", "x" * 45 + " "))
+
+
 def test_exceptions_cancel_hits():
     model = toxicity.Model(((" trash ", 3.0), (" low", 2.0)), ("trash can", "lowland"), (1.0, 1.0, 1.0, -2.0), 0.0)
     assert model.hits("a trash can on lowland")[0] == 0 and model.hits("such trash")[0] == 3.0 and model.hits("lowest")[0] == 2.0
