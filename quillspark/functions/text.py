@@ -64,8 +64,12 @@ def count_tax_ids(c: Column | str) -> Column:
 
 
 def repair_zero(c: Column | str) -> Column:
-    """A zero beside a letter becomes the letter O; for free text, not for identifiers or amounts."""
-    return F.regexp_replace(col(c), r"(?<=\p{L})0|0(?=\p{L})", "O")
+    """Zeros inside words of free text become the letter O, in the case of the word. A word is a run of letters and zeros
+    with three letters or more, so identifiers, numbers and amounts, which hold other digits or too few letters, stay."""
+    parts = F.regexp_extract_all(col(c), F.lit(r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"), F.lit(1))
+    is_word = lambda t: t.rlike(r"^(?=(0*\p{L}){3})[\p{L}0]+$")
+    letter = lambda t: F.when(t == F.upper(t), "O").otherwise("o")
+    return F.array_join(F.transform(parts, lambda t: F.when(is_word(t), F.replace(t, F.lit("0"), letter(t))).otherwise(t)), "")
 
 
 def snake_key(c: Column | str) -> Column:
@@ -108,11 +112,21 @@ def iso_date(c: Column | str) -> Column:
 
 
 def amount(c: Column | str) -> Column:
-    """A printed amount as decimal: symbols and thousands go, the last of point and comma before two or fewer digits is the decimal mark."""
+    """A printed amount as decimal, without symbols and thousands; null if it is none.
+
+    Of two kinds of marks the last one is decimal. A kind that repeats, or a single one before just three last digits and
+    behind one to three digits that are not a lone 0, separates thousands; any other single one is decimal.
+    """
     bare = F.regexp_replace(col(c), "[^0-9.,-]", "")
-    comma = F.regexp_replace(F.regexp_replace(bare, r"\.", ""), ",", ".")
-    point = F.regexp_replace(bare, ",", "")
-    return F.when(bare.rlike(r",[0-9]{1,2}$"), comma).otherwise(point).try_cast("decimal(18,2)")
+    commas, points = F.regexp_count(bare, F.lit(",")), F.regexp_count(bare, F.lit(r"\."))
+    last = F.regexp_extract(bare, "([.,])[^.,]*$", 1)
+    own = F.when(last == ",", commas).otherwise(points)
+    other = F.when(last == ",", points).otherwise(commas)
+    grouped = (own > 1) | ((own == 1) & (other == 0) & bare.rlike(r"^-?[1-9][0-9]{0,2}[.,][0-9]{3}$"))
+    digits = F.regexp_replace(bare, "[.,]", "")
+    after = F.length(F.regexp_extract(bare, "([^.,]*)$", 1))
+    split = F.concat(F.left(digits, F.length(digits) - after), F.lit("."), F.right(digits, after))
+    return F.when((last == "") | grouped, digits).otherwise(split).try_cast("decimal(18,2)")
 
 
 def currency(c: Column | str) -> Column:

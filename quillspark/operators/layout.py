@@ -6,7 +6,11 @@ settled by item_ix, so results don't depend on how rows are dealt.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quillspark.functions.geometry import HORIZONTAL, VERTICAL, effective_orientation, measures, orientation
 from quillspark.functions.text import strip
@@ -34,44 +38,68 @@ def provenance_vote(boxes: DataFrame) -> DataFrame:
     return vote(places, orientation("p.l", "p.t", "p.r", "p.b"))
 
 
-def selected_boxes(boxes: DataFrame, choice: str = "auto") -> DataFrame:
-    """Boxes with text, in their document's chosen orientation, with measures and column selected."""
+def marked_boxes(boxes: DataFrame, choice: str = "auto") -> DataFrame:
+    """Boxes with measures, their effective orientation and selected, that of their document."""
     if choice not in ("auto", HORIZONTAL, VERTICAL):
         raise ValueError(f"orientation must be auto, horizontal or vertical, not {choice!r}")
-    marked = boxes.withColumns(measures()).withColumns({"text": strip("text"), "effective": effective_orientation(), "shape": orientation()})
+    marked = boxes.withColumns(measures()).withColumns({"text": strip(chosen_text(boxes)), "effective": effective_orientation(), "shape": orientation()})
     if choice == "auto":
         # the vote is a window over the partitioning that clustering needs anyway: one shuffle in all
         per_doc = Window.partitionBy("doc_id")
         h, v = (F.count_if(F.col("shape") == s).over(per_doc) for s in (HORIZONTAL, VERTICAL))
-        marked = marked.withColumn("selected", F.when(h >= v, HORIZONTAL).otherwise(VERTICAL))
-    else:
-        marked = marked.withColumn("selected", F.lit(choice))
+        return marked.withColumn("selected", F.when(h >= v, HORIZONTAL).otherwise(VERTICAL))
+    return marked.withColumn("selected", F.lit(choice))
+
+
+def chosen_text(boxes: DataFrame) -> Column:
+    """A table's own Markdown where boxes have that column and the item has it, else the item's text."""
+    if "markdown" not in boxes.columns:
+        return F.col("text")
+    return F.when((F.col("label") == "table") & F.col("markdown").isNotNull(), F.col("markdown")).otherwise(F.col("text"))
+
+
+def _shown(marked: DataFrame) -> DataFrame:
     return marked.filter((F.col("effective") == F.col("selected")) & (F.length("text") > 0)).drop("effective", "shape")
 
 
+def selected_boxes(boxes: DataFrame, choice: str = "auto") -> DataFrame:
+    """Boxes with text, in their document's chosen orientation, with measures and column selected."""
+    return _shown(marked_boxes(boxes, choice))
+
+
+def number_lines(doc: np.ndarray, at: np.ndarray, state: tuple) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """(lines, ranks, state) of boxes sorted by document and place; state (doc, sum, n, line, rank) carries over from batch to batch."""
+    lines, ranks = np.empty(len(at), np.int32), np.empty(len(at), np.int32)
+    last, total, n, line, rank = state
+    for i, (d, x) in enumerate(zip(doc.tolist(), at.tolist(), strict=True)):
+        if d != last:
+            last, total, n, line, rank = d, 0.0, 0, 0, -1
+        if n == 0 or abs(x - total / n) > LINE_DISTANCE:
+            total, n, line = 0.0, 0, line + 1
+        total, n, rank = total + x, n + 1, rank + 1
+        lines[i], ranks[i] = line, rank
+    return lines, ranks, (last, total, n, line, rank)
+
+
 def cluster_lines(selected: DataFrame) -> DataFrame:
     """(doc_id, selected, line_no, rank, item_ix, text, left, center_y) of selected boxes.
 
     Boxes go down the page (vertical text: from left to right); one opens a line when it is over
-    LINE_DISTANCE from the running mean of the last line. Sorted input makes the last line the nearest.
+    LINE_DISTANCE from the running mean of the last line. Sorted input makes the last line the nearest. Documents
+    are dealt and sorted by Spark, which may spill; numbering them keeps nothing but the last line's mean.
     """
     at = F.when(F.col("selected") == HORIZONTAL, -F.col("center_y")).otherwise(F.col("center_x"))
-    docs = selected.groupBy("doc_id", "selected").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "item_ix", "text", "left", "center_y"))).alias("boxes"))
-    begin = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("line"), F.array().cast("array<int>").alias("lines"))
+    cols = ["doc_id", "selected", "item_ix", "text", "left", "center_y"]
+    dealt = selected.select(*cols, at.alias("at")).repartition("doc_id").sortWithinPartitions("doc_id", "at", "item_ix", "text", "left", "center_y")
+    schema = T.StructType([*dealt.select(*cols).schema.fields, T.StructField("line_no", T.IntegerType()), T.StructField("rank", T.IntegerType())])
 
-    def step(acc: Column, box: Column) -> Column:
-        opens = (acc["n"] == 0) | (F.abs(box["at"] - acc["sum"] / F.nullif(acc["n"], F.lit(0))) > LINE_DISTANCE)
-        line = acc["line"] + F.when(opens, 1).otherwise(0)
-        return F.struct(
-            (F.when(opens, F.lit(0.0)).otherwise(acc["sum"]) + box["at"]).alias("sum"),
-            (F.when(opens, F.lit(0)).otherwise(acc["n"]) + 1).alias("n"),
-            line.alias("line"),
-            F.concat(acc["lines"], F.array(line)).alias("lines"),
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: tuple = (object(), 0.0, 0, 0, -1)
+        for b in batches:
+            lines, ranks, state = number_lines(b.column(0).to_numpy(zero_copy_only=False), b.column(6).to_numpy(zero_copy_only=False), state)
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(lines), pa.array(ranks)], names=schema.names)
 
-    numbered = docs.withColumn("lines", F.aggregate("boxes", begin, step, lambda acc: acc["lines"]))
-    flat = numbered.select("doc_id", "selected", F.posexplode(F.arrays_zip("boxes", "lines")).alias("rank", "x"))
-    return flat.select("doc_id", "selected", F.col("x.lines").alias("line_no"), "rank", *[F.col(f"x.boxes.{c}").alias(c) for c in ("item_ix", "text", "left", "center_y")])
+    return dealt.mapInArrow(run, schema).select("doc_id", "selected", "line_no", "rank", "item_ix", "text", "left", "center_y")
 
 
 def fallback(selected: Column | str) -> Column:
@@ -89,18 +117,17 @@ def assemble(lines: DataFrame) -> DataFrame:
 
 def reading_order(boxes: DataFrame, choice: str = "auto") -> DataFrame:
     """(doc_id, orientation, text) of every document of boxes."""
-    if choice == "auto":
-        docs = dominant_orientation(boxes).select("doc_id", "orientation")
-    else:
-        docs = boxes.select("doc_id").distinct().withColumn("orientation", F.lit(choice))
-    text = assemble(cluster_lines(selected_boxes(boxes, choice)))
+    marked = marked_boxes(boxes, choice)
+    # the vote is that of the window: its rows are dealt by document already
+    docs = marked.groupBy("doc_id").agg(F.first("selected").alias("orientation"))
+    text = assemble(cluster_lines(_shown(marked)))
     return docs.join(text, "doc_id", "left").select("doc_id", "orientation", F.coalesce("text", F.concat(fallback("orientation"), F.lit("\n"))).alias("text"))
 
 
 def flat_text(boxes: DataFrame) -> DataFrame:
     """(doc_id, orientation, text): items with text in the dominant orientation, in document order, a line each; tables have none of their own."""
     docs = dominant_orientation(boxes).select("doc_id", "orientation")
-    shown = boxes.filter(F.col("text").isNotNull() & (F.col("label") != "table")).withColumns({"shape": orientation(), "text": strip("text")}).filter(F.length("text") > 0)
+    shown = boxes.filter(F.col("text").isNotNull() & ~F.col("label").eqNullSafe("table")).withColumns({"shape": orientation(), "text": strip("text")}).filter(F.length("text") > 0)
     lines = shown.join(docs, "doc_id").filter("shape = orientation").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item_ix", "text"))).alias("x"))
     text = lines.select("doc_id", F.array_join(F.transform("x", lambda v: v["text"]), "\n").alias("said"))
     return docs.join(text, "doc_id", "left").select("doc_id", "orientation", F.coalesce("said", fallback("orientation")).alias("text"))

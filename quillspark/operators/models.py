@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.functions.jsonx import json_block, parse_error, strict_json
+from quillspark.functions.jsonx import recover
 from quillspark.functions.text import fill, strip
 
 Messages = list[dict]
@@ -80,11 +80,27 @@ def ask(df: DataFrame, backend: Backend, as_json: bool = True, messages_col: str
     return df.mapInPandas(run, schema)
 
 
-def execute_prompt(docs: DataFrame, prompt: dict[str, str], values: dict[str, Column], backend: Backend, step: str) -> DataFrame:
-    """docs with response (a JSON object as text) and error: fill the prompt, ask, recover the object."""
-    asked = ask(docs.withColumn("messages", messages(F.lit(prompt["system"]), fill(prompt["user"], values))), backend)
-    why = F.coalesce("call_error", parse_error("raw"))
-    return asked.withColumns({"error": F.when(why.isNotNull(), F.concat(F.lit(f"{step}: "), why)), "response": F.when(why.isNull(), strict_json(json_block("raw")))}).drop("messages", "raw", "call_error")
+def execute_prompt(docs: DataFrame, prompt: dict[str, str], values: dict[str, Column], backend: Backend, step: str, as_json: bool = True, images: Column | None = None) -> DataFrame:
+    """docs with response (a JSON object as text) and error: route and fill the prompt, ask, recover the object.
+
+    as_json asks the server for JSON. images (bytes, null for none) take the vision prompts of a prompt that has them.
+    """
+    system, user, image = routed(prompt, values, images)
+    asked = ask(docs.withColumn("messages", messages(system, user, image)), backend, as_json)
+    got = asked.withColumn("got", recover("raw"))
+    why = F.coalesce("call_error", "got.error")
+    return got.withColumns({"error": F.when(why.isNotNull(), F.concat(F.lit(f"{step}: "), why)), "response": F.when(why.isNull(), F.col("got.value"))}).drop("messages", "raw", "call_error", "got")
+
+
+def routed(prompt: dict[str, str], values: dict[str, Column], images: Column | None = None) -> tuple[Column, Column, Column | None]:
+    """(system, user, image) of a request: an image with both vision prompts goes without the document's text, all else by its text."""
+    both = lambda kind: F.lit("\n\n".join(x for x in (prompt.get("system"), prompt.get(f"system_{kind}")) if x))
+    by_text = fill(prompt["user"], values)
+    if images is None or not (prompt.get("system_vlm") and prompt.get("user_vlm")):
+        return both("llm"), by_text, None
+    seen = images.isNotNull()
+    blind = {k: F.when(seen, F.lit("")).otherwise(v) if k == "documento" else v for k, v in values.items()}
+    return F.when(seen, both("vlm")).otherwise(both("llm")), F.when(seen, fill(prompt["user_vlm"], blind)).otherwise(by_text), images
 
 
 def question_form(docs: DataFrame, fields: list[tuple[str, str]], backend: Backend) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillspark.functions.jsonx import json_object, json_string
+
 RESULTS = "doc_id bigint, family string, step string, response string, error string, run_id bigint"
 
 
@@ -46,6 +48,18 @@ def error_maps(results: DataFrame) -> DataFrame:
     return got.select("doc_id", F.when(F.size("entries") > 0, F.map_from_entries("entries")).alias("errors"))
 
 
+def export_objects(rows: DataFrame, name: Column | None = None) -> DataFrame:
+    """(doc_id, json) of outcomes (doc_id, step, response, error): an object of the file's name, its answers by step and,
+    where there are some, its errors. A response that is JSON itself is taken as it is, any other as a string."""
+    steps = F.array_sort(F.collect_list(F.struct("step", "response", "error")))
+    one = rows.groupBy("doc_id").agg(steps.alias("steps"))
+    entries = lambda good: F.transform(F.filter("steps", lambda s: s["error"].isNull() if good else s["error"].isNotNull()), lambda s: F.struct(s["step"].alias("key"), (s["response"] if good else s["error"]).alias("value")))
+    answer = lambda c: F.when(F.json_object_keys(c).isNotNull(), c).otherwise(json_string(c))
+    errors = F.when(F.size(entries(False)) > 0, F.concat(F.lit(',"errores":'), json_object(entries(False)))).otherwise("")
+    file = F.concat(F.col("doc_id").cast("string"), F.lit(".md")) if name is None else name
+    return one.select("doc_id", F.concat(F.lit('{"archivo":'), json_string(file), F.lit(',"extracciones":'), json_object(entries(True), answer), errors, F.lit("}")).alias("json"))
+
+
 def status_summary(statuses: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, success, skipped, failed, total) of rows with status success, skipped or error."""
     count = lambda s: F.count_if(F.col("status") == s)

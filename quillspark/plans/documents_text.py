@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillspark.functions import jsonx, text
 from quillspark.operators import models, state
 from quillspark.plans.util import columns
+from quillspark.sources.files import IMAGE_SUFFIXES, MODES, SOURCE_SUFFIXES, is_image
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,12 +15,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 TAX = "concat('20-', lpad(CAST(c_custkey AS VARCHAR), 8, '0'), '-', CAST(c_custkey % 10 AS VARCHAR))"
-TEXTS = f"""c_custkey AS doc_id, concat('  ', c_name, chr(9)) AS padded, concat(CASE WHEN c_custkey % 2 = 0 THEN {TAX} ELSE 'Ing. ' END, ' Ing, Brutos') AS tax, concat('ROSARI0 ', CAST(c_custkey AS VARCHAR), ' C0RD0BA 100') AS place,
+TEXTS = f"""c_custkey AS doc_id, concat('  ', c_name, chr(9)) AS padded, concat(CASE WHEN c_custkey % 2 = 0 THEN {TAX} ELSE 'Ing. ' END, ' Ing, Brutos') AS tax,
+       concat('ROSARI0 ', CAST(c_custkey AS VARCHAR), ' C0RD0BA 100, ', CASE c_custkey % 6 WHEN 0 THEN 'CC0007 rosari0' WHEN 1 THEN 'MC01-A0 N0' WHEN 2 THEN '20-0100 $ 1.200' WHEN 3 THEN 'C000 A00B0C' WHEN 4 THEN '0RO 0rO x0' ELSE 'ÑAND0 É0Í0Ó' END) AS place,
        concat(lpad(CAST(c_custkey % 100 AS VARCHAR), 5, '0'), CASE WHEN c_custkey % 3 = 0 THEN ' - ' ELSE '-' END, lpad(CAST(c_custkey AS VARCHAR), 8, '0')) AS number,
        CASE c_custkey % 4 WHEN 0 THEN concat(lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0'), '/0', CAST(c_custkey % 9 + 1 AS VARCHAR), '/2024') WHEN 1 THEN concat('2024-0', CAST(c_custkey % 9 + 1 AS VARCHAR), '-15') WHEN 2 THEN concat('20240', CAST(c_custkey % 9 + 1 AS VARCHAR), '07') ELSE '31/02/2024' END AS day,
-       CASE c_custkey % 3 WHEN 0 THEN concat('$ 1.', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0'), ',5') WHEN 1 THEN concat('U$S ', CAST(c_custkey AS VARCHAR), '.25') ELSE concat('1,', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0'), '.75 EUR') END AS money,
+       CASE c_custkey % 11 WHEN 0 THEN concat('$ 1.', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0'), ',5') WHEN 1 THEN concat('U$S ', CAST(c_custkey AS VARCHAR), '.25') WHEN 2 THEN concat('1,', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0'), '.75 EUR')
+         WHEN 3 THEN concat('$ 1.', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0')) WHEN 4 THEN concat('1.234.', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0')) WHEN 5 THEN '12,345,678' WHEN 6 THEN concat('0.', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0'))
+         WHEN 7 THEN '-1.234,50' WHEN 8 THEN '1234,5' WHEN 9 THEN 'US$ 1234.567' ELSE 'sin monto' END AS money,
        concat('Alicuota ', CAST(c_custkey % 30 AS VARCHAR), '% (', c_mktsegment, ')') AS label,
-       CASE c_custkey % 5 WHEN 0 THEN 'FACTURA  B 0001' WHEN 1 THEN 'COMPROBANTE C' WHEN 2 THEN 'NOTA DE CREDITO A' WHEN 3 THEN 'Nota de débito' ELSE 'NC 12' END AS header,
+       CASE c_custkey % 7 WHEN 0 THEN 'FACTURA  B 0001' WHEN 1 THEN 'COMPROBANTE C' WHEN 2 THEN 'NOTA DE CREDITO A' WHEN 3 THEN 'Nota de débito' WHEN 4 THEN 'NC 12' WHEN 5 THEN 'Nota de crédito, FACTURA E' ELSE 'N. DEBITO / ANC' END AS header,
        concat({TAX}, ' y ', {TAX}, '1 ', {TAX}) AS ids"""
 
 
@@ -56,24 +60,24 @@ def product_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("doc_id", text.product_list("items").alias("products"))
 
 
+REPLIES = r"""CASE event_id % 8 WHEN 0 THEN concat('Sure: ', props, ' Done.') WHEN 1 THEN concat('x', chr(10), '{"a": "b" v"', chr(10), '}') WHEN 2 THEN concat(props, ' and ', props) WHEN 3 THEN 'none'
+       WHEN 4 THEN concat('{"a": "x{', CAST(event_id AS VARCHAR), '}y"}') WHEN 5 THEN '[1, {"a": 2}, 3]' WHEN 6 THEN '{"a": "open' ELSE props END"""
+
+
 def json_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects recovered from replies with text around them, a stray token, two objects or none."""
-    e = read(spark, sf_dir, "events")
-    raw = e.selectExpr(
-        "event_id",
-        """CASE event_id % 5 WHEN 0 THEN concat('Sure: ', props, ' Done.') WHEN 1 THEN concat('x', char(10), '{"a": "b" v"', char(10), '}') WHEN 2 THEN concat(props, ' and ', props) WHEN 3 THEN 'none' ELSE props END AS raw""",
-    )
-    ok = jsonx.strict_json(jsonx.json_block("raw"))
+    """Objects recovered from replies with text around them, a stray token, two objects, an array, a broken one or none."""
+    raw = read(spark, sf_dir, "events").selectExpr("event_id", REPLIES.replace("VARCHAR", "STRING").replace("chr(10)", "char(10)") + " AS raw")
     # the last brace bounds the object, so a second object makes the block invalid
-    return raw.select("event_id", F.get_json_object(ok, "$.k").cast("int").alias("k"), F.get_json_object(ok, "$.a").alias("a"), ok.isNotNull().alias("ok"), jsonx.parse_error("raw").alias("error"))
+    got = raw.select("event_id", jsonx.recover("raw").alias("got"))
+    return got.select("event_id", F.get_json_object("got.value", "$.k").cast("int").alias("k"), F.get_json_object("got.value", "$.a").alias("a"), F.col("got.value").isNotNull().alias("ok"), F.col("got.error").alias("error"))
 
 
 TEMPLATE = "Proveedor {{proveedor}}, monto {{monto}}: {{documento}} {{otro}}"
 
 
 def template_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential filling: a document that holds a later key's place is itself filled. Single-pass filling leaves it."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat("lang", F.lit(" {{monto}}")).alias("documento"), F.col("source").alias("proveedor"), F.col("n_chars").cast("string").alias("monto"))
+    """Whole documents in a template. Sequential filling: a document that holds a later key's place is itself filled. Single-pass filling leaves it."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" {{monto}}")).alias("documento"), F.col("source").alias("proveedor"), F.col("n_chars").cast("string").alias("monto"))
     values = {k: F.col(k) for k in ("documento", "proveedor", "monto")}
     return docs.select("doc_id", text.fill(TEMPLATE, values).alias("filled"), text.fill_once(TEMPLATE, values).alias("filled_once"))
 
@@ -89,9 +93,6 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_replace("url", r"^[a-z]+://|[?#].*$", ""), kind).alias("path"))
 
 
-SOURCE_SUFFIXES = ("jpg", "jpeg", "png", "pdf", "tiff", "tif", "bmp")
-
-
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct source files in path order, component by component; suffixes in one case only."""
     from pyspark.sql import Window
@@ -101,7 +102,7 @@ def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # positions count within a folder's top level: one window for all files would be one task
     top = F.element_at(F.split("path", "/"), 1)
     order = Window.partitionBy(top).orderBy(F.split("path", "/"))
-    return files.select("path", text.suffix("path").alias("suffix"), text.stem("path").alias("stem"), F.row_number().over(order).alias("position"), F.lower(text.suffix("path")).isin(".jpg", ".jpeg", ".png", ".webp", ".bmp", ".tif", ".tiff").alias("is_image"))
+    return files.select("path", text.suffix("path").alias("suffix"), text.stem("path").alias("stem"), F.row_number().over(order).alias("position"), is_image("path").alias("is_image"))
 
 
 def sidecar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,15 +112,12 @@ def sidecar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def modality_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images with both vision prompts go to the vision path with no text; everything else goes by its text."""
-    p = paths(spark, sf_dir).withColumns({"is_image": F.lower(text.suffix("path")).isin(".jpg", ".jpeg", ".png", ".webp", ".bmp", ".tif", ".tiff"), "system_vlm": F.when(F.col("page_id") % 2 == 0, "look"), "user_vlm": F.when(F.col("page_id") % 3 > 0, "see {{documento}}")})
+    p = paths(spark, sf_dir).withColumns({"is_image": is_image("path"), "system_vlm": F.when(F.col("page_id") % 2 == 0, "look"), "user_vlm": F.when(F.col("page_id") % 3 > 0, "see {{documento}}")})
     vision = F.col("is_image") & F.col("system_vlm").isNotNull() & F.col("user_vlm").isNotNull()
     user = text.fill(F.when(vision, F.col("user_vlm")).otherwise("read {{documento}}"), {"documento": F.when(vision, "").otherwise(F.col("path"))})
     return p.select("page_id", F.when(vision, "vision").otherwise("text").alias("route"), F.concat(F.lit("base\n\n"), F.when(vision, F.col("system_vlm")).otherwise("llm")).alias("system"), user.alias("user"), F.when(vision, 8192).alias("context"))
 
 
-MODES = (("kvi", "11"), ("11.1", "11.1"), ("kvg", "10"), ("ccc", "01"), ("mcc", "02"), ("cfc", "03"), ("01", "01"), ("02", "02"), ("03", "03"))
-
-
 def mode_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests by mode with the prompt they mean; unknown modes have none."""
     wanted = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.element_at(F.array(*[F.lit(m) for m, _ in MODES], F.lit("xx")), (F.col("c_custkey") % 10 + 1).cast("int")).alias("mode"))
@@ -196,11 +194,9 @@ def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON object per document, steps in order, with errors only where there are some."""
-    rows = state.current(results(spark, sf_dir))
-    one = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("step", "response", "error"))).alias("steps"))
-    entry = lambda good: F.array_join(F.transform(F.filter("steps", lambda s: s["error"].isNull() if good else s["error"].isNotNull()), lambda s: F.concat(F.lit('"'), s["step"], F.lit('":"'), s["response"] if good else s["error"], F.lit('"'))), ",")
-    errors = F.when(entry(False) != "", F.concat(F.lit(',"errores":{'), entry(False), F.lit("}"))).otherwise("")
-    return one.select("doc_id", F.concat(F.lit('{"archivo":"'), F.col("doc_id").cast("string"), F.lit('.md","extracciones":{'), entry(True), F.lit("}"), errors, F.lit("}")).alias("json"))
+    said = F.concat(F.lit('say "'), F.coalesce("response", "error"), F.lit('" \\ ñ\n'))
+    rows = state.current(results(spark, sf_dir)).withColumns({"response": F.when(F.col("response").isNotNull(), said), "error": F.when(F.col("error").isNotNull(), said)})
+    return state.export_objects(rows).select("doc_id", "json")
 
 
 def map_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +214,7 @@ _PATHS = """WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z
     CASE WHEN page_id % 9 = 0 THEN '.Jpg' WHEN page_id % 4 = 0 THEN '.pdf' WHEN page_id % 4 = 1 THEN '.PNG' WHEN page_id % 4 = 2 THEN '.md' ELSE '' END AS path FROM pages),
   s AS (SELECT *, regexp_extract(path, '[^/](\\.[^./]+)$', 1) AS suffix FROM p)
 """
-_IMAGE = "lower(suffix) IN ('.jpg', '.jpeg', '.png', '.webp', '.bmp', '.tif', '.tiff')"
+_IMAGE = f"lower(suffix) IN {IMAGE_SUFFIXES}"
 _ALLOWED = ", ".join(f"'.{c}'" for s in SOURCE_SUFFIXES for c in (s, s.upper()))
 _RESULTS = f"""WITH r AS (
   SELECT doc_id, step, run, (quality = 1 AND run = 1) OR (toxic = 0 AND run = 2 AND step = '{STEPS[0]}') AS ok
@@ -229,20 +225,31 @@ _RESULTS = f"""WITH r AS (
 """
 
 ORACLE_SQL = {
-    "text_normalise": f"""WITH t AS (SELECT {TEXTS} FROM customer), n AS (SELECT *, repeat(label, 4) AS long, nullif(regexp_extract(tax, '^[0-9-]+'), '') AS tid, string_split(day, '/') AS d, regexp_replace(money, '[^0-9.,-]', '', 'g') AS bare FROM t)
+    "text_normalise": f"""WITH t AS (SELECT {TEXTS} FROM customer), n AS (
+        SELECT *, repeat(label, 4) AS long, nullif(regexp_extract(tax, '^[0-9-]+'), '') AS tid, string_split(day, '/') AS d, regexp_replace(money, '[^0-9.,-]', '', 'g') AS bare, regexp_extract_all(place, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS words,
+          upper(translate(header, 'áéíóúÁÉÍÓÚ', 'aeiouAEIOU')) AS head FROM t
+      ), m AS (
+        SELECT *, regexp_extract(bare, '([.,])[^.,]*$', 1) AS mark, length(bare) - length(replace(bare, '.', '')) AS points, length(bare) - length(replace(bare, ',', '')) AS commas, regexp_replace(bare, '[.,]', '', 'g') AS digits, regexp_extract(bare, '([^.,]*)$', 1) AS tail FROM n
+      )
       SELECT doc_id, trim(padded, ' ' || chr(9)) AS name, CASE WHEN length(long) > 80 THEN substr(long, 1, 80) || '...' ELSE long END AS short, tid AS tax_id, coalesce(regexp_full_match(tid, '[0-9]{{2}}-[0-9]{{8}}-[0-9]'), false) AS tax_id_full,
-        replace(replace(place, 'ROSARI0', 'ROSARIO'), 'C0RD0BA', 'CORDOBA') AS place, CAST(trim(split_part(number, '-', 1)) AS BIGINT) AS point_of_sale, CAST(trim(split_part(number, '-', 2)) AS BIGINT) AS number,
+        array_to_string(list_transform(words, lambda w: CASE WHEN regexp_full_match(w, '[\\p{{L}}0]+') AND length(replace(w, '0', '')) >= 3 THEN replace(w, '0', CASE WHEN w = upper(w) THEN 'O' ELSE 'o' END) ELSE w END), '') AS place,
+        CAST(trim(split_part(number, '-', 1)) AS BIGINT) AS point_of_sale, CAST(trim(split_part(number, '-', 2)) AS BIGINT) AS number,
         CASE WHEN contains(day, '/') THEN d[3] || d[2] || d[1] ELSE day END AS compact_day,
-        CASE WHEN doc_id % 4 = 0 THEN d[3] || '-' || d[2] || '-' || d[1] WHEN doc_id % 4 = 1 THEN day WHEN doc_id % 4 = 2 THEN substr(day, 1, 4) || '-' || substr(day, 5, 2) || '-' || substr(day, 7, 2) END AS iso_day,
-        CAST(CASE WHEN regexp_matches(bare, ',[0-9]{{1,2}}$') THEN replace(replace(bare, '.', ''), ',', '.') ELSE replace(bare, ',', '') END AS DECIMAL(18,2)) AS amount,
-        CASE doc_id % 3 WHEN 0 THEN 'ARS' WHEN 1 THEN 'USD' ELSE 'EUR' END AS currency, trim(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '_') AS key,
+        strftime(coalesce(try_strptime(day, '%d/%m/%Y'), try_strptime(day, '%Y-%m-%d'), try_strptime(day, '%Y%m%d')), '%Y-%m-%d') AS iso_day,
+        TRY_CAST(CASE WHEN mark = '' OR (mark = ',' AND commas > 1) OR (mark = '.' AND points > 1) OR (points + commas = 1 AND regexp_full_match(bare, '-?[1-9][0-9]{{0,2}}[.,][0-9]{{3}}')) THEN digits
+                 ELSE substr(digits, 1, length(digits) - length(tail)) || '.' || tail END AS DECIMAL(18,2)) AS amount,
+        CASE WHEN regexp_matches(upper(money), 'U\\$S|US\\$|USD') THEN 'USD' WHEN regexp_matches(upper(money), '€|EUR') THEN 'EUR' ELSE 'ARS' END AS currency, trim(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '_') AS key,
         coalesce(nullif(regexp_extract(header, 'FACTURA\\s+([A-CME])', 1), ''), nullif(regexp_extract(header, 'COMPROBANTE\\s+([A-CME])', 1), '')) AS letter,
-        CASE doc_id % 5 WHEN 2 THEN 'Nota de Crédito' WHEN 3 THEN 'Nota de Débito' WHEN 4 THEN 'Nota de Crédito' ELSE 'Factura' END AS kind, CAST(len(regexp_extract_all(ids, '\\b[0-9]{{2}}-[0-9]{{8}}-[0-9]\\b')) AS BIGINT) AS n_tax_ids FROM n""",
+        CASE WHEN regexp_matches(head, 'NOTA DE CREDITO|N\\. CREDITO|\\bNC\\b') THEN 'Nota de Crédito' WHEN regexp_matches(head, 'NOTA DE DEBITO|N\\. DEBITO|\\bND\\b') THEN 'Nota de Débito' ELSE 'Factura' END AS kind,
+        CAST(len(regexp_extract_all(ids, '\\b[0-9]{{2}}-[0-9]{{8}}-[0-9]\\b')) AS BIGINT) AS n_tax_ids FROM m""",
     "product_lists": """SELECT l_orderkey AS doc_id, string_agg(replace(p_brand || '|x', '|', '/') || CASE WHEN l_linenumber % 3 > 0 THEN ' x' || CAST(CAST(trunc(l_quantity) AS INTEGER) AS VARCHAR) ELSE '' END || ' - ' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), '|'
         ORDER BY l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 > 0 THEN trunc(l_quantity) END NULLS FIRST, CAST(l_extendedprice AS DECIMAL(18,2))) AS products FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""",
-    "json_recovery": """SELECT event_id, CASE WHEN event_id % 5 IN (0, 4) THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k, CASE WHEN event_id % 5 = 1 THEN 'b' END AS a, event_id % 5 IN (0, 1, 4) AS ok,
-        CASE event_id % 5 WHEN 2 THEN 'invalid JSON object in reply' WHEN 3 THEN 'no JSON object in reply: none' END AS error FROM events""",
-    "template_fill": """SELECT doc_id, 'Proveedor ' || source || ', monto ' || n_chars || ': ' || lang || ' ' || n_chars || ' {{otro}}' AS filled, 'Proveedor ' || source || ', monto ' || n_chars || ': ' || lang || ' {{monto}} {{otro}}' AS filled_once FROM documents""",
+    "json_recovery": f"""WITH r AS (SELECT event_id, {REPLIES} AS raw FROM events), b AS (SELECT *, nullif(regexp_extract(raw, '(?s)\\{{.*\\}}'), '') AS block FROM r),
+      f AS (SELECT *, regexp_replace(block, '"\\s*v"(\\s*\\n\\s*\\}})', '"\\1', 'g') AS fixed FROM b), o AS (SELECT *, CASE WHEN json_valid(fixed) THEN CAST(fixed AS JSON) END AS j FROM f)
+      SELECT event_id, CAST(json_extract_string(j, '$.k') AS INTEGER) AS k, json_extract_string(j, '$.a') AS a, j IS NOT NULL AS ok,
+        CASE WHEN block IS NULL THEN 'no JSON object in reply: ' || raw WHEN j IS NULL THEN 'invalid JSON object in reply' END AS error FROM o""",
+    "template_fill": f"""WITH d AS (SELECT doc_id, coalesce(text, '') || ' {{{{monto}}}}' AS document, source, CAST(n_chars AS VARCHAR) AS n FROM documents)
+      SELECT doc_id, replace(replace(replace('{TEMPLATE}', '{{{{documento}}}}', document), '{{{{proveedor}}}}', source), '{{{{monto}}}}', n) AS filled, 'Proveedor ' || source || ', monto ' || n || ': ' || document || ' {{{{otro}}}}' AS filled_once FROM d""",
     "chat_history": """SELECT conv_id, turn, count(*) OVER w AS n_before, coalesce(string_agg(role || ': ' || text, chr(10)) OVER w, '') AS history FROM conversations
         WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "file_listing": _PATHS + f""", f AS (SELECT DISTINCT path, suffix FROM s WHERE suffix IN ({_ALLOWED}))
@@ -265,6 +272,7 @@ ORACLE_SQL = {
     "step_prerequisites": _RESULTS + f"SELECT doc_id, response AS prior_response FROM c JOIN documents USING (doc_id) WHERE step = '{STEPS[1]}' AND error IS NULL",
     "error_maps": _RESULTS + "SELECT doc_id, string_agg(step || '=' || error, ';' ORDER BY step) FILTER (WHERE error IS NOT NULL) AS errors FROM c GROUP BY doc_id",
     "status_summary": """SELECT user_id, count(*) FILTER (WHERE event_type NOT IN ('error', 'view')) AS success, count(*) FILTER (WHERE event_type = 'view') AS skipped, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) AS total FROM events GROUP BY user_id""",
-    "result_export": _RESULTS + """SELECT doc_id, '{"archivo":"' || doc_id || '.md","extracciones":{' || coalesce(string_agg('"' || step || '":"' || response || '"', ',' ORDER BY step) FILTER (WHERE error IS NULL), '') || '}' ||
-        coalesce(',"errores":{' || string_agg('"' || step || '":"' || error || '"', ',' ORDER BY step) FILTER (WHERE error IS NOT NULL) || '}', '') || '}' AS json FROM c GROUP BY doc_id""",
+    "result_export": _RESULTS + """, s AS (SELECT doc_id, step, error IS NULL AS good, CAST(to_json(step) AS VARCHAR) || ':' || CAST(to_json('say "' || coalesce(response, error) || '" \\ ñ' || chr(10)) AS VARCHAR) AS entry FROM c)
+      SELECT doc_id, '{"archivo":"' || doc_id || '.md","extracciones":{' || coalesce(string_agg(entry, ',' ORDER BY step) FILTER (WHERE good), '') || '}' || coalesce(',"errores":{' || string_agg(entry, ',' ORDER BY step) FILTER (WHERE NOT good) || '}', '') || '}' AS json
+      FROM s GROUP BY doc_id""",
 }

@@ -4,38 +4,65 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quillspark.functions.text import suffix
 
 # Suffixes of sources, in lower or in upper case, never mixed.
 SOURCE_SUFFIXES = ("jpg", "jpeg", "png", "pdf", "tiff", "tif", "bmp")
+IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp", ".bmp", ".tif", ".tiff")
 CONVERTIBLE = (".pdf", ".jpg", ".jpeg", ".png", ".tif", ".tiff", ".bmp", ".docx", ".pptx", ".xlsx")
 
 
+# Modes of the single-prompt command and the number of the prompt each means.
+MODES = (("kvi", "11"), ("11.1", "11.1"), ("kvg", "10"), ("ccc", "01"), ("mcc", "02"), ("cfc", "03"), ("01", "01"), ("02", "02"), ("03", "03"))
+
+
+def is_image(path: Column | str) -> Column:
+    return F.lower(suffix(path)).isin(*IMAGE_SUFFIXES)
+
+
+def _kind(spark: SparkSession, source: str) -> str | None:
+    """file or folder, in whatever store the path names, or None if there is neither."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return None
+    return "folder" if store.getFileStatus(path).isDirectory() else "file"
+
+
 def find_source_files(spark: SparkSession, source: str, suffixes: tuple[str, ...] = SOURCE_SUFFIXES) -> DataFrame:
     """(path, modificationTime, length, content) of a file of any kind, or of the sources below a folder; each file once."""
     reader = spark.read.format("binaryFile")
-    if Path(source).suffix and not Path(source).is_dir():
+    if _kind(spark, source) == "file":
         return reader.load(source)
     both = ",".join(c for s in suffixes for c in (s, s.upper()))
     return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{both}}}").load(source)
 
 
 def in_path_order(files: DataFrame) -> DataFrame:
-    """files with position, from 1, by path components; the listing is small beside its contents."""
-    return files.withColumn("position", F.row_number().over(Window.orderBy(F.split("path", "/"))))
+    """files (path, ...) but their contents, with position, from 1, by path components.
+
+    The listing is sorted in ranges; a range begins where the sizes of those before it end.
+    """
+    order = F.split("path", "/")
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = files.drop("content").repartitionByRange(n, order).sortWithinPartitions(order).withColumn("range", F.spark_partition_id()).persist()
+    sizes = dealt.groupBy("range").agg(F.count("*").alias("n"))  # n rows, one for each range
+    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(order))
+    return dealt.join(F.broadcast(before), "range").withColumn("position", (F.col("before") + own).cast("long")).drop("range", "before")
 
 
 def find_markdown_files(spark: SparkSession, source: str) -> DataFrame:
     """(path, text) of a file of any kind, or of *.md below a folder."""
-    options = {} if Path(source).is_file() else {"recursiveFileLookup": True, "pathGlobFilter": "*.md"}
+    options = {} if _kind(spark, source) == "file" else {"recursiveFileLookup": True, "pathGlobFilter": "*.md"}
     got = spark.read.text(source, wholetext=True, **options)
     return got.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def require_markdown_files(spark: SparkSession, source: str) -> DataFrame:
-    if not Path(source).exists():
+    if _kind(spark, source) is None:
         raise FileNotFoundError(f"no such file or folder: {source}")
     got = find_markdown_files(spark, source)
     if got.isEmpty():

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -19,25 +19,52 @@ def write_results(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.write.mode(mode).parquet(path)
 
 
-def write_json(path: str, value: object) -> None:
-    """One JSON file, replaced as a whole: a reader sees the old or the new one."""
+def write_parts(path: str, parts: Iterable[str]) -> None:
+    """One text file of these parts, replaced as a whole: a reader sees the old or the new one."""
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     handle, temp = tempfile.mkstemp(dir=target.parent, suffix=".tmp")
     try:
         with os.fdopen(handle, "w", encoding="utf-8") as out:
-            json.dump(value, out, ensure_ascii=False, indent=2)
+            out.writelines(parts)
         os.replace(temp, target)
     except BaseException:
         os.unlink(temp)
         raise
 
 
-def export_results(rows: DataFrame, path: str, order: str = "doc_ord", body: str = "json") -> None:
-    """rows (doc_ord, name, json) as one file: a single result bare, several as a map by name, in order."""
-    got = rows.orderBy(order).select("name", body).collect()  # an export for people: one file is what is asked for
-    values = {r["name"]: json.loads(r[body]) for r in got}
-    write_json(path, next(iter(values.values())) if len(values) == 1 else values)
+def write_json(path: str, value: object) -> None:
+    """One JSON file, replaced as a whole."""
+    write_parts(path, [json.dumps(value, ensure_ascii=False, indent=2)])
+
+
+def export_results(rows: DataFrame, path: str, order: str = "doc_ord", body: str = "json", shape: str = "auto") -> None:
+    """rows (doc_ord, name, json) as one file, in order: an array, a map by name, or (auto) a single result bare and several as a map.
+
+    Rows come to the driver one partition at a time and are written as they come. Names that two rows share are an
+    error where they would be keys. The file is replaced as a whole.
+    """
+    if shape not in ("auto", "array", "map"):
+        raise ValueError(f"shape must be auto, array or map, not {shape!r}")
+    if shape != "array":
+        twice = [r["name"] for r in rows.groupBy("name").count().filter("count > 1").orderBy("name").limit(5).collect()]
+        if twice:
+            raise ValueError("results would overwrite each other: " + ", ".join(map(str, twice)))
+    bare = shape == "auto" and rows.limit(2).count() == 1
+
+    def parts() -> Iterator[str]:
+        dump = lambda x, deep: json.dumps(json.loads(x), ensure_ascii=False, indent=2).replace("\n", "\n  " if deep else "\n")
+        first, ends = True, ("[", "]") if shape == "array" else ("{", "}")
+        for r in rows.orderBy(order, "name").select("name", body).toLocalIterator():
+            if bare:
+                yield dump(r[body], False)
+                return
+            key = "" if shape == "array" else json.dumps(str(r["name"]), ensure_ascii=False) + ": "
+            yield (ends[0] if first else ",") + "\n  " + key + dump(r[body], True)
+            first = False
+        yield "".join(ends) if first else "\n" + ends[1]
+
+    write_parts(path, parts())
 
 
 def flattened(files: DataFrame) -> DataFrame:

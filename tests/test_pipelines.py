@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark import cli
@@ -109,6 +110,19 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "one.json").read_text(encoding="utf-8") == '{\n  "k": "é"\n}'
 
 
+def test_ordered_exports(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"n{9 - i}", json.dumps({"i": i, "t": "é\n"})) for i in range(9)], "doc_ord int, name string, json string").repartition(5)
+    sinks.export_results(rows, str(tmp_path / "all.json"), shape="array")
+    text = (tmp_path / "all.json").read_text(encoding="utf-8")
+    assert text == json.dumps([{"i": i, "t": "é\n"} for i in range(9)], ensure_ascii=False, indent=2)
+    sinks.export_results(rows, str(tmp_path / "map.json"))
+    assert list(json.loads((tmp_path / "map.json").read_text(encoding="utf-8"))) == [f"n{9 - i}" for i in range(9)]
+    sinks.export_results(rows.limit(0), str(tmp_path / "none.json"), shape="array")
+    assert (tmp_path / "none.json").read_text() == "[]"
+    with pytest.raises(ValueError, match="n1"):
+        sinks.export_results(rows.union(rows.filter("name = 'n1'")), str(tmp_path / "map.json"))
+
+
 def test_markdown_and_prompts(spark, tmp_path):
     (tmp_path / "a.md").write_text("one\ntwo\n")
     assert [r["text"] for r in files.require_markdown_files(spark, str(tmp_path)).collect()] == ["one\ntwo\n"]
