@@ -147,20 +147,29 @@ def chunks(rows: DataFrame) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "row bigint, ix int, d1 bigint, d2 bigint, again boolean")
 
 
+def hot_digests(every: DataFrame) -> DataFrame:
+    """(d1, d2, first) of the digests that hold over HOT_SHARE of all chunks, fewer than 1 / HOT_SHARE of them; first is the first row that has it.
+
+    The size of a digest's bucket tells where to look, so that few digests are counted.
+    """
+    total = max(1, every.count())
+    bucket = F.pmod("d1", F.lit(BUCKETS)).cast("int")
+    large = hot_keys(every.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")), total).select("bucket")
+    some = every.withColumn("bucket", bucket).join(F.broadcast(large), "bucket", "left_semi")
+    counts = some.groupBy("d1", "d2").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    return checkpoint(hot_keys(counts, total).select("d1", "d2", "first"))
+
+
 def copies(every: DataFrame) -> DataFrame:
     """(row, ix, digest, owner) of the chunks that an earlier place holds; owner is the first row that does."""
-    digest = F.struct("d1", "d2").alias("digest")
-    marked = every.withColumn("bucket", F.pmod("d1", F.lit(BUCKETS)).cast("int"))
-    hot = checkpoint(hot_keys(marked.groupBy("bucket").agg(F.count("*").alias("n")), every.count()).select("bucket", F.lit(True).alias("hot")))
-    marked = marked.join(F.broadcast(hot), "bucket", "left")
-    cold = marked.filter("hot is null").withColumn("owner", F.min("row").over(Window.partitionBy("d1", "d2")))
-    found = cold.filter("again or owner < row").select("row", "ix", digest, "owner")
-    if hot.isEmpty():
-        return found
-    rest = marked.filter("hot").select("row", "ix", digest, "again")
-    firsts = checkpoint(rest.groupBy("digest").agg(F.min("row").alias("owner"), F.count("*").alias("n")).filter("n > 1"))
-    owned = lookup(rest, "digest", firsts, max(1, rest.count()), "row")
-    return found.union(owned.filter("again or owner < row").select("row", "ix", "digest", "owner"))
+    marked = every.join(F.broadcast(hot_digests(every)), ["d1", "d2"], "left")
+    found = []
+    for owned in (
+        marked.filter("first is null").withColumn("owner", F.min("row").over(Window.partitionBy("d1", "d2"))),
+        marked.filter("first is not null").withColumn("owner", F.col("first")),
+    ):
+        found.append(owned.filter("again or owner < row").select("row", "ix", F.struct("d1", "d2").alias("digest"), "owner"))
+    return found[0].union(found[1])
 
 
 def common(a: str | None, b: str | None, side: int) -> int:

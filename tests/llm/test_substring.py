@@ -89,8 +89,8 @@ def plain_copies(texts):
 
 @pytest.mark.parametrize("hot", [False, True])
 def test_every_copied_chunk_counts_with_runs_of_one(spark, monkeypatch, hot):
-    if hot:  # every bucket counts as hot: digests go by aggregation
-        monkeypatch.setattr(substring, "hot_keys", lambda counts, total: counts)
+    if hot:  # every digest of three chunks counts as hot and goes by broadcast
+        monkeypatch.setattr(substring, "hot_keys", lambda counts, total: counts.filter("n > 2"))
     rng, pieces = random.Random(3), [prose(800 + i, rng_n) for i, rng_n in enumerate([6, 12, 20, 40] * 5)]
     texts = {i: " ".join(rng.sample(pieces, 4) + [prose(i, 30)]) + "the " * (50 * (i % 5 == 0)) for i in range(50)}
     got = {k: set() for k in texts}
