@@ -19,6 +19,14 @@ CONCEPT = (
     "macro_categoria string, concepto string, nombre_concepto string, cuenta_contable string, condicion_impositiva string, codigo_final string, candidatos_codigo_final array<string>, "
     "requiere_revision_humana boolean, confianza string, criterio_inferido boolean, justificacion string"
 )
+NESTED = (
+    "control_calidad struct<comprobante_valido:boolean,motivo_rechazo:string,categoria_gasto:string>, "
+    "emisor struct<razon_social:string,cuit_emisor:string,domicilio_fiscal:string>, "
+    "comprobante struct<tipo_comprobante:string,fecha_emision:string,nro_comprobante:string,centro_de_costo:string>, "
+    "financiero struct<moneda:string,subtotal_neto:decimal(18,2),impuestos:struct<iva_21:decimal(18,2),iva_105:decimal(18,2),iva_otras_alicuotas:decimal(18,2),impuestos_internos:decimal(18,2),percepcion_iibb:decimal(18,2),otros_impuestos:decimal(18,2)>,monto_no_gravado:decimal(18,2),importe_total_facturado:decimal(18,2),monto_total_transaccion_final:decimal(18,2)>, "
+    "datos_especificos_rubro struct<cantidad_comensales_personas:int,cantidad_litros_combustible:decimal(18,2)>, "
+    "auditoria_interna struct<notas:string,descuadre_detectado:boolean>"
+)
 # What allows a head count and litres.
 WITH_PEOPLE = ("Restaurante", "Supermercado", "Hospedaje")
 WITH_LITRES = "Combustible"
@@ -54,6 +62,42 @@ def open_map(response: Column) -> Column:
     return F.from_json(response, "map<string,string>")
 
 
+def generic_faults(response: Column) -> Column:
+    """What a flat answer breaks, in order: keys it lacks, values that are no single ones, dates, identifiers and amounts not in normal form."""
+    entries = F.coalesce(F.map_entries(open_map(response)), F.array().cast("array<struct<key:string,value:string>>"))
+    bad = lambda name, test: F.transform(F.filter(entries, lambda e: F.coalesce(test(e["key"], e["value"]), F.lit(False))), lambda e: F.concat(F.lit(name + ":"), e["key"]))
+    lacking = F.transform(missing_keys(response, GENERIC), lambda k: F.concat(F.lit("falta:"), k))
+    return F.concat(
+        lacking,
+        bad("anidado", lambda k, v: v.rlike(r"^\s*[\[{]")),
+        bad("fecha", lambda k, v: k.startswith("fecha") & ~v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")),
+        bad("id", lambda k, v: k.rlike("^(cuit|cuil)") & ~v.rlike(r"^[0-9-]+$")),
+        bad("monto", lambda k, v: k.startswith("monto") & ~v.rlike(r"^-?[0-9]+(\.[0-9]+)?$")),
+    )
+
+
+def nested(response: Column) -> Column:
+    """The older answer in six blocks; one person and no litres where it names none, and the final total from its parts."""
+    a = typed(response, NESTED)
+    money, special = a["financiero"], a["datos_especificos_rubro"]
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("decimal(18,2)"))
+    final = F.coalesce(money["monto_total_transaccion_final"], (money["importe_total_facturado"] + zero(money["monto_no_gravado"])).cast("decimal(18,2)"))
+    people = special.withField("cantidad_comensales_personas", F.coalesce(special["cantidad_comensales_personas"], F.lit(1))).withField("cantidad_litros_combustible", zero(special["cantidad_litros_combustible"]))
+    none = F.struct(F.lit(1).alias("cantidad_comensales_personas"), F.lit(0).cast("decimal(18,2)").alias("cantidad_litros_combustible"))
+    full = a.withField("datos_especificos_rubro", F.coalesce(people, none)).withField("financiero", money.withField("monto_total_transaccion_final", final))
+    return F.when(a.isNotNull(), full)
+
+
+def with_defaults(given: dict[str, Column], defaults: Column, zero_counts: tuple[str, ...] = ()) -> dict[str, Column]:
+    """Request fields: what is given, else the default of the same key in a JSON object. An empty text or a zero counts as not given, but for the fields of zero_counts."""
+    out = {}
+    for name, value in given.items():
+        text = value.cast("string")
+        there = value.isNotNull() if name in zero_counts else value.isNotNull() & (text != "") & ~F.coalesce(text.try_cast("double") == 0, F.lit(False))
+        out[name] = F.when(there, text).otherwise(F.get_json_object(defaults, f"$.{name}"))
+    return out
+
+
 def invoice_faults(a: Column) -> Column:
     """Rules that a typed invoice answer breaks, in order."""
     is_a = a["tipo_comprobante"] == "A"

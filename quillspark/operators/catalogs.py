@@ -33,6 +33,41 @@ MC14 Pérdidas y Ajustes
 MC15 Agricultura
 """
 
+#: Offline signals of each cost centre: code | word beginnings that speak for it | word beginnings that speak against it.
+#: Text is compared in lower case without accents.
+CENTER_SIGNALS = """
+CC0001 | 0 km, cero km, patentamiento, preentrega | usad, repuesto, taller, motor, administra
+CC0002 | usad, reacondicionamiento | 0 km, cero km, repuesto, motor, taller
+CC0003 | motor, rectificacion | repuesto, vehiculo, maquinaria
+CC0004 | repuesto, accesorio, taller, service, neumatico | motor, chaperia
+CC0005 | servicio | administra, repuesto, chaperia, agro
+CC0006 | viatico, comida, almuerzo, combustible, nafta, peaje, estacionamiento, oficina, computa, software, curso, farmacia, libreria, limpieza, administra, honorario | -
+CC0007 | agro, semilla, cosecha, sembradora, tractor | vehiculo, motor, administra
+CC0008 | chapa, chaperia, pintura | mecanica, motor, repuesto
+"""
+#: The centre of last resort, which explicit signals of any other outrank.
+DEFAULT_CENTER = "CC0006"
+
+#: Offline signals of each macro category: code | word beginnings that speak for it.
+MACRO_SIGNALS = """
+MC01 | uniforme, curso, capacitacion, asistencia medica
+MC02 | viatico, viaje, combustible, nafta, peaje, regalo, agasajo, almuerzo, comida
+MC03 | publicidad, promocion, carteleria, merchandising
+MC04 | edificio, alquiler, limpieza, seguridad, luz, agua, gas
+MC05 | software, telefon, internet, computa, licencia
+MC06 | papeleria, escritorio, resma, libreria
+MC07 | material, insumo, herramienta, flete, envio
+MC08 | vehiculo, maquinaria, repuesto, service
+MC09 | honorario, asesoramiento, legal, escribania
+MC10 | impuesto, tasa, sellado
+MC12 | seguro, poliza
+MC13 | interes, comision, bancari, tarjeta
+MC14 | incobrable, faltante
+MC15 | semilla, agroquimico, fertilizante
+"""
+#: Where no signal stands: services, and everything else; the category that one cost centre alone may have, and that centre.
+SERVICE_MACRO, OTHER_MACRO, AGRO_MACRO, AGRO_CENTER = "MC11", "MC14", "MC15", "CC0007"
+
 #: Tax conditions, in the order of the code columns below.
 CONDITIONS = ("21", "10_5", "27", "2_5", "exento_no_gravado")
 
@@ -82,6 +117,13 @@ def _pairs(text: str) -> list[tuple[str, str]]:
     return [tuple(line.split(" ", 1)) for line in text.strip().splitlines()]
 
 
+def signal_rows(text: str) -> list[tuple[str, str, str | None]]:
+    """(code, pattern for, pattern against) of a table of signals: any of its word beginnings, at the start of a word."""
+    pattern = lambda words: "(^|[^a-z0-9])(" + "|".join(words.split(", ")) + ")"
+    rows = [line.split(" | ") for line in text.strip().splitlines()]
+    return [(r[0], pattern(r[1]), pattern(r[2]) if len(r) > 2 and r[2] != "-" else None) for r in rows]
+
+
 def concept_rows() -> list[list[str]]:
     return [line.split(" | ") for line in CONCEPTS.strip().splitlines()]
 

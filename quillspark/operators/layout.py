@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quillspark.functions.geometry import HORIZONTAL, VERTICAL, effective_orientation, measures, orientation
-from quillspark.functions.text import strip
+from quillspark.functions.text import ellipsis, strip
 
 #: Greatest distance of a box from its line's mean, of a row's boxes from the one before, and where columns split.
 LINE_DISTANCE = 25.0
@@ -133,6 +133,28 @@ def flat_text(boxes: DataFrame) -> DataFrame:
     return docs.join(text, "doc_id", "left").select("doc_id", "orientation", F.coalesce("said", fallback("orientation")).alias("text"))
 
 
+def raw_text(boxes: DataFrame) -> DataFrame:
+    """(doc_id, text): all text of a document in item order, a paragraph each; a table's Markdown where there is one."""
+    said = boxes.select("doc_id", "item_ix", chosen_text(boxes).alias("text")).groupBy("doc_id")
+    kept = F.filter(F.array_sort(F.collect_list(F.struct("item_ix", "text"))), lambda x: F.length(x["text"]) > 0)
+    return said.agg(F.array_join(F.transform(kept, lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def report_lines(boxes: DataFrame) -> DataFrame:
+    """boxes with label in upper case, text of 80 characters at most and coordinates of one decimal."""
+    coords = [F.format_string("%.1f", F.round(c, 1)).alias(c) for c in ("l", "t", "r", "b")]
+    return boxes.select("doc_id", "item_ix", F.upper("label").alias("label"), ellipsis("text").alias("text"), *coords)
+
+
+def box_report(boxes: DataFrame) -> DataFrame:
+    """(doc_id, text): the votes of a document's places and a line for each of its boxes that has one."""
+    votes = dominant_orientation(boxes)
+    line = F.concat_ws(" ", F.lit("-"), F.concat(F.lit("["), F.col("label"), F.lit("]")), "text", F.concat(F.lit("("), F.concat_ws(", ", "l", "t", "r", "b"), F.lit(")")))
+    lines = report_lines(boxes.filter("l is not null")).select("doc_id", F.struct("item_ix", line.alias("line")).alias("x")).groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    head = F.concat(F.lit("horizontal "), F.col("n_horizontal").cast("string"), F.lit(", vertical "), F.col("n_vertical").cast("string"), F.lit(": "), F.col("orientation"))
+    return votes.join(lines, "doc_id", "left").select("doc_id", F.concat_ws("\n", head, F.array_join(F.transform("x", lambda v: v["line"]), "\n")).alias("text"))
+
+
 def gap_rows(blocks: DataFrame) -> DataFrame:
     """blocks (doc_id, item_ix, x, y, text) with row_no: a block stays in its row while it is within ROW_GAP of the one before."""
     down = Window.partitionBy("doc_id").orderBy("y", "x", "item_ix")

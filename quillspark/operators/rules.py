@@ -116,6 +116,59 @@ def macro_allowed(macro: Column, center: Column) -> Column:
     return F.coalesce((macro != "MC15") | (center == "CC0007"), F.lit(False))
 
 
+def plain(c: Column | str) -> Column:
+    """Lower case without accents."""
+    return F.translate(F.lower(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))), "áéíóúüñ", "aeiouun")
+
+
+def _ranked_signals(options: list[tuple[Column, Column, Column, Column]], fields: str, names: dict[str, str], most: int = 3) -> Column:
+    """The best of (code, rank key, confidence, signal) as an array of fields; options whose signal is null don't count."""
+    rows = [F.when(signal.isNotNull(), F.struct(key.alias("key"), code.alias("code"), confidence.alias("confianza"), signal.alias("senal"))) for code, key, confidence, signal in options]
+    best = F.slice(F.array_sort(F.array_compact(F.array(*rows))), 1, most)
+    name = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    made = {"code": lambda o: o["code"], "name": lambda o: name[o["code"]], "confianza": lambda o: o["confianza"], "senal_usada": lambda o: o["senal"], "criterio_inferido": lambda o: F.lit(False), "justificacion": lambda o: F.concat(F.lit("señal en "), o["senal"])}
+    parts = [f.split(":") for f in fields.split()]
+    return F.transform(best, lambda o: F.struct(*[made[source](o).alias(out) for out, source in parts]))
+
+
+def _signals(rows: list[tuple[str, str, str | None]], allowed: dict[str, Column], last: str | None) -> list[tuple[Column, Column, Column, Column]]:
+    """Of each code its place, confidence and signal: found in the description, then in the provider; what speaks against it comes later and with low confidence."""
+    described, provider = plain("descripcion"), plain("proveedor")
+    out = []
+    for code, wanted, unwanted in rows:
+        inside, beside = described.rlike(wanted), provider.rlike(wanted)
+        against = (described.rlike(unwanted) | provider.rlike(unwanted)) if unwanted else F.lit(False)
+        signal = F.when(inside & beside, "proveedor+descripcion").when(inside, "descripcion").when(beside, "proveedor")
+        if code in allowed:
+            signal = F.when(allowed[code], signal)
+        key = F.struct(against.cast("int").alias("against"), F.lit(int(code == last)).alias("last"), F.when(inside & beside, 0).when(inside, 1).otherwise(2).alias("place"), F.lit(code).alias("code"))
+        out.append((F.lit(code), key, F.when(against, "baja").when(inside, "alta").otherwise("media"), signal))
+    return out
+
+
+def center_options() -> Column:
+    """Ranked cost centres of columns descripcion and proveedor, three at most; the default one with low confidence where nothing speaks for any."""
+    names = dict(catalogs._pairs(catalogs.COST_CENTERS))
+    fields = "codigo_centro_costo:code centro:name confianza:confianza senal_usada:senal_usada justificacion:justificacion"
+    got = _ranked_signals(_signals(catalogs.signal_rows(catalogs.CENTER_SIGNALS), {}, catalogs.DEFAULT_CENTER), fields, names)
+    default = F.array(F.struct(F.lit(catalogs.DEFAULT_CENTER).alias("codigo_centro_costo"), F.lit(names[catalogs.DEFAULT_CENTER]).alias("centro"), F.lit("baja").alias("confianza"), F.lit("ninguna").alias("senal_usada"), F.lit("sin señal específica").alias("justificacion")))
+    return F.when(F.size(got) > 0, got).otherwise(default)
+
+
+def macro_options() -> Column:
+    """Ranked macro categories of columns descripcion, proveedor and centro_costo; agriculture only with its centre. Where nothing
+    speaks for any, services have their own fallback and everything else another, both inferred."""
+    names = dict(catalogs._pairs(catalogs.MACRO_CATEGORIES))
+    agro = F.coalesce(F.col("centro_costo") == catalogs.AGRO_CENTER, F.lit(False))
+    fields = "macro_categoria:code nombre:name confianza:confianza criterio_inferido:criterio_inferido justificacion:justificacion"
+    got = _ranked_signals(_signals(catalogs.signal_rows(catalogs.MACRO_SIGNALS), {catalogs.AGRO_MACRO: agro}, None), fields, names)
+    service = plain("descripcion").rlike("(^|[^a-z0-9])servic") | plain("proveedor").rlike("(^|[^a-z0-9])servic")
+    code = F.when(service, catalogs.SERVICE_MACRO).otherwise(catalogs.OTHER_MACRO)
+    name = F.when(service, names[catalogs.SERVICE_MACRO]).otherwise(names[catalogs.OTHER_MACRO])
+    default = F.array(F.struct(code.alias("macro_categoria"), name.alias("nombre"), F.lit("baja").alias("confianza"), F.lit(True).alias("criterio_inferido"), F.lit("sin señal específica").alias("justificacion")))
+    return F.when(F.size(got) > 0, got).otherwise(default)
+
+
 def primary(options: Column, code: str) -> Column:
     """The code of the first of ranked options, null if there is none."""
     return F.try_element_at(options, F.lit(1))[code]

@@ -14,6 +14,11 @@ from quillspark.functions.jsonx import json_object, json_string
 RESULTS = "doc_id bigint, family string, step string, response string, error string, run_id bigint"
 
 
+def results_schema(kind: str = "bigint") -> str:
+    """RESULTS with identifiers of another type."""
+    return RESULTS.replace("doc_id bigint", f"doc_id {kind}")
+
+
 def fan_out(docs: DataFrame, steps: DataFrame) -> DataFrame:
     """Every document with every step; steps is the handful of prompts of a family."""
     return docs.crossJoin(F.broadcast(steps))

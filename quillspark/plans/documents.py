@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.functions import geometry
-from quillspark.functions.text import ellipsis
 from quillspark.operators import layout
 from quillspark.plans.util import columns
 
@@ -148,9 +147,7 @@ def crop_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def box_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line per box: label, text of at most 80 characters, coordinates with one decimal."""
     got = boxes(spark, sf_dir).withColumn("text", F.repeat("text", (F.col("item_ix") % 9 + 1).cast("int")))
-    coords = [F.format_string("%.1f", F.round(c, 1)).alias(c) for c in ("l", "t", "r", "b")]
-    return got.select("doc_id", "item_ix", F.upper("label").alias("label"), ellipsis("text").alias("text"), *coords)
-
+    return layout.report_lines(got)
 
 
 def top_class_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,34 +6,42 @@ issues a call twice and a rerun asks only for what has no success yet.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillspark.operators import layout, models, state
 from quillspark.sources.converter import Converter, convert_files
+from quillspark.sources.files import MODES
 
 Prompts = dict[str, dict[str, str]]
+# The steps by the names of their prompts.
 EXTRACTION = ("10_extraccion_generica", "11_extraccion_factura")
 CLASSIFICATION = ("01_centro_costo", "02_macro_categoria", "03_concepto_codigo_final")
 # Fixed value: what classification is told of facts that a document's text alone doesn't give.
 UNKNOWN = "no informado"
+# The prompts that classify, and what each needs to be told of the steps before.
+CLASSIFYING = ("01", "02", "03")
+NEEDED = {"02": (("a cost centre", "centro_costo"),), "03": (("a macro category", "macro_categoria"),)}
 #: The list and code that the next classification step reads from an answer.
 PRIMARY = {"01_centro_costo": ("$.centros_costos[0].codigo_centro_costo", "centro_costo"), "02_macro_categoria": ("$.macro_categorias[0].macro_categoria", "macro_categoria")}
 
 
-def _results(spark: SparkSession, path: str) -> DataFrame:
+def _results(docs: DataFrame, path: str) -> DataFrame:
+    """The results table of documents with identifiers of this type; empty before the first run."""
+    spark, schema = docs.sparkSession, state.results_schema(dict(docs.dtypes)["doc_id"])
     try:
-        return spark.read.schema(state.RESULTS).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except Exception as e:  # the first run has no table yet
         if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], state.RESULTS)
+            return spark.createDataFrame([], schema)
         raise
 
 
 def _run(spark: SparkSession, docs: DataFrame, values: dict[str, Column], prompt: dict[str, str], backend: models.Backend, family: str, step: str, path: str, run_id: int, force: bool) -> None:
     """Append the outcomes of one step for the documents of docs (doc_id, text, ...) that lack a success."""
-    wanted = state.pending(docs.withColumn("step", F.lit(step)), _results(spark, path), force)
+    wanted = state.pending(docs.withColumn("step", F.lit(step)), _results(docs, path), force)
     out = models.execute_prompt(wanted, prompt, values, backend, step)
     out.select("doc_id", F.lit(family).alias("family"), "step", "response", "error", F.lit(run_id).cast("long").alias("run_id")).write.mode("append").parquet(path)
 
@@ -42,7 +50,7 @@ def extract_documents(spark: SparkSession, docs: DataFrame, prompts: Prompts, ba
     """docs (doc_id, text): every extraction prompt for every document, each step on its own."""
     for step in EXTRACTION:
         _run(spark, docs, {"documento": F.col("text")}, prompts[step], backend, "extraction", step, path, run_id, force)
-    return state.current(_results(spark, path)).filter("family = 'extraction'")
+    return state.current(_results(docs, path)).filter("family = 'extraction'")
 
 
 def classify_documents(spark: SparkSession, docs: DataFrame, prompts: Prompts, backend: models.Backend, path: str, tax_condition: str = "21", run_id: int = 1, force: bool = False) -> DataFrame:
@@ -57,14 +65,14 @@ def classify_documents(spark: SparkSession, docs: DataFrame, prompts: Prompts, b
             prior = CLASSIFICATION[i - 1]
             json_path, name = PRIMARY[prior]
             # a first-run prerequisite gates the call: documents without the prior success issue none
-            gated = state.gated(rows, _results(spark, path), prior)
+            gated = state.gated(rows, _results(docs, path), prior)
             gated = gated.withColumn(name, F.get_json_object("prior_response", json_path)).drop("prior_response")
-            missing = state.pending(gated.filter(F.col(name).isNull()).withColumn("step", F.lit(step)), _results(spark, path), force)
+            missing = state.pending(gated.filter(F.col(name).isNull()).withColumn("step", F.lit(step)), _results(docs, path), force)
             missing.select("doc_id", F.lit("classification").alias("family"), "step", F.lit(None).cast("string").alias("response"), F.lit(f"{step}: no primary option of {prior}").alias("error"), F.lit(run_id).cast("long").alias("run_id")).write.mode("append").parquet(path)
             rows = gated.filter(F.col(name).isNotNull())
             facts = {**facts, name: F.col(name)}
         _run(spark, rows, facts, prompts[step], backend, "classification", step, path, run_id, force)
-    return state.current(_results(spark, path)).filter("family = 'classification'")
+    return state.current(_results(docs, path)).filter("family = 'classification'")
 
 
 def convert_documents(files: DataFrame, factory: Callable[[], Converter], choice: str = "auto") -> DataFrame:
@@ -86,6 +94,24 @@ def convert_documents(files: DataFrame, factory: Callable[[], Converter], choice
     )
 
 
+def single_prompt(docs: DataFrame, mode: str, prompt: dict[str, str], backend: models.Backend, given: dict[str, str] | None = None) -> DataFrame:
+    """docs (path, text, and image: bytes or null) with response and error of one prompt, by its mode.
+
+    Modes that classify need the codes of the steps before, and don't ask the server for JSON; the others ask for it, and
+    images go by the vision prompts where there are some.
+    """
+    known, given = dict(MODES), given or {}
+    if mode not in known:
+        raise ValueError(f"mode must be one of {', '.join(known)}, not {mode!r}")
+    for needs, name in NEEDED.get(known[mode], ()):
+        if not given.get(name):
+            raise ValueError(f"mode {mode} needs {needs}")
+    if known[mode] in CLASSIFYING:
+        values = {"proveedor": F.lit(UNKNOWN), "monto": F.lit(UNKNOWN), "descripcion": F.col("text"), "centro_costo": F.lit(given.get("centro_costo") or UNKNOWN), "macro_categoria": F.lit(given.get("macro_categoria") or "no informada"), "condicion_impositiva": F.lit(given.get("condicion_impositiva") or "no informada")}
+        return models.execute_prompt(docs, prompt, values, backend, mode, as_json=False)
+    return models.execute_prompt(docs, prompt, {"documento": F.col("text")}, backend, mode, images=F.col("image") if "image" in docs.columns else None)
+
+
 def process_folder(files: DataFrame, done: DataFrame | None, factory: Callable[[], Converter], choice: str = "auto") -> DataFrame:
     """convert_documents of the files that done (path) lacks; the others have status skipped."""
     if done is None:
@@ -96,20 +122,39 @@ def process_folder(files: DataFrame, done: DataFrame | None, factory: Callable[[
     return convert_documents(new, factory, choice).union(skipped)
 
 
+def done_before(spark: SparkSession, path: str) -> DataFrame | None:
+    """(path) of the documents that a table of conversions holds, None if there is no table yet."""
+    try:
+        return spark.read.parquet(path).filter("status = 'success'").select("path").distinct()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def convert_folder(spark: SparkSession, files: DataFrame, factory: Callable[[], Converter], path: str, choice: str = "auto", force: bool = False) -> DataFrame:
+    """(path, status, error) of files, new texts appended to the table at path; those it holds are skipped unless forced."""
+    run = uuid.uuid4().hex
+    rows = process_folder(files, None if force else done_before(spark, path), factory, choice).filter("status <> 'skipped'")
+    rows.withColumns({"run": F.lit(run), "converted_at": F.current_timestamp()}).write.mode("append").parquet(path)
+    new = spark.read.parquet(path).filter(F.col("run") == run).select("path", "status", "error")
+    return files.select("path").join(new, "path", "left").select("path", F.coalesce("status", F.lit("skipped")).alias("status"), "error")
+
+
+def latest_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, markdown) of a table of conversions: the last text of each file."""
+    table = spark.read.parquet(path).filter("status = 'success'")
+    return table.groupBy("path").agg(F.max_by("markdown", "converted_at").alias("markdown"))
+
+
 def full_pipeline(spark: SparkSession, files: DataFrame, factory: Callable[[], Converter], prompts: Prompts, backend: models.Backend, folder: str, tax_condition: str = "21", choice: str = "auto", run_id: int = 1, force: bool = False) -> DataFrame:
     """Convert, extract and classify files (path, content); (doc_id, path, family, step, response, error) of all steps.
 
-    Documents are known by a hash of their path; folder holds documents and results. Existing text is used again unless forced.
+    Documents are known by their path; folder holds documents and results. Existing text is used again unless forced.
     """
     docs_path, results_path = f"{folder}/documents", f"{folder}/results"
-    known = F.xxhash64("path")
-    done = None
-    if not force:
-        try:
-            done = spark.read.parquet(docs_path).filter("status = 'success'").select("path")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+    known = F.col("path")
+    done = None if force else done_before(spark, docs_path)
     new = process_folder(files, done, factory, choice).filter("status <> 'skipped'")
     new.withColumns({"doc_id": known, "run_id": F.lit(run_id).cast("long")}).write.mode("append").parquet(docs_path)
     table = spark.read.parquet(docs_path)
@@ -117,4 +162,4 @@ def full_pipeline(spark: SparkSession, files: DataFrame, factory: Callable[[], C
     wanted = latest.join(files.select("path"), "path", "left_semi").select("doc_id", "text")
     extract_documents(spark, wanted, prompts, backend, results_path, run_id, force)
     classify_documents(spark, wanted, prompts, backend, results_path, tax_condition, run_id, force)
-    return state.current(_results(spark, results_path)).join(latest.select("doc_id", "path"), "doc_id")
+    return state.current(_results(wanted, results_path)).join(latest.select("doc_id", "path"), "doc_id")

@@ -6,6 +6,9 @@ A converter is a factory, called once per worker process, of a function from (pa
 
 from __future__ import annotations
 
+import functools
+import importlib
+import inspect
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -28,8 +31,19 @@ class Options:
     classify_pictures: bool = False
 
 
+def load(spec: str, options: Options | None = None) -> Callable[[], Converter]:
+    """The factory that module:name names; one that takes options is given them."""
+    module, _, name = spec.partition(":")
+    if not name:
+        raise ValueError(f"a converter is named module:factory, not {spec!r}")
+    factory = getattr(importlib.import_module(module), name)
+    if "options" in inspect.signature(factory).parameters:
+        return functools.partial(factory, options=options or Options())
+    return factory
+
+
 #: One converter per process and factory: setting one up is the costly part.
-_MADE: dict[Callable, Converter] = {}
+_MADE: dict[str, Converter] = {}
 
 
 def json_converter() -> Converter:
@@ -54,7 +68,8 @@ def convert_files(files: DataFrame, factory: Callable[[], Converter]) -> DataFra
     """files (path, content) to boxes with error: items numbered in document order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        convert = _MADE.get(factory) or _MADE.setdefault(factory, factory())
+        key = repr(factory)
+        convert = _MADE.get(key) or _MADE.setdefault(key, factory())
         names = [c.split()[0] for c in BOXES.split(", ")]
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):

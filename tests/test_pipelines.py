@@ -146,6 +146,63 @@ def test_dialogue():
     assert said == ["hello 11\n"]
 
 
+def as_boxes(options):
+    """A converter of plain text: a box a line."""
+    return lambda path, content: [("text", f"{x}*{options.picture_scale}", 1, 0.0, 100.0 - 30 * i, 50.0, 90.0 - 30 * i) for i, x in enumerate(content.decode().splitlines())]
+
+
+def test_commands(spark, tmp_path, capsys):
+    source, out = tmp_path / "in", tmp_path / "out"
+    write_sources(source)
+    (source / "c.jpg").write_text("[]")
+    assert cli.main(["convert", str(source), "-o", str(out), "--markdown", str(tmp_path / "md")]) == 0
+    assert (tmp_path / "md" / "a.md").read_text() == "hi | there\n"
+    (source / "a.png").write_text(json.dumps([["text", "new", 1, 0, 10, 50, 0]]))
+    (source / "z.png").write_text(json.dumps([["text", "more", 1, 0, 10, 50, 0]]))
+    assert cli.main(["convert", str(source), "-o", str(out)]) == 0
+    texts = lambda: {r["path"].rsplit("/", 1)[1]: r["markdown"] for r in pipelines.latest_texts(spark, str(out)).collect()}
+    assert texts()["a.png"] == "hi | there\n" and texts()["z.png"] == "more\n"  # what is there is skipped
+    assert cli.main(["convert", str(source), "-o", str(out), "--force"]) == 0 and texts()["a.png"] == "new\n"
+    (tmp_path / "plain.png").write_text("one\ntwo")
+    capsys.readouterr()
+    assert cli.main(["text", str(tmp_path / "plain.png"), "--converter", "tests.test_pipelines:as_boxes", "--picture-scale", "2"]) == 0
+    assert capsys.readouterr().out == "one*2.0\ntwo*2.0\n"
+    assert cli.main(["raw", str(source / "a.png"), "-o", str(tmp_path / "a.raw.md")]) == 0 and (tmp_path / "a.raw.md").read_text() == "new\n"
+    assert cli.main(["report", str(source / "a.png")]) == 0
+    assert capsys.readouterr().out == "horizontal 1, vertical 0: horizontal\n- [TEXT] new (0.0, 10.0, 50.0, 0.0)\n"
+    assert cli.main(["ask", str(source / "a.png"), "-q", "what is it?"]) == 0 and capsys.readouterr().out == "what 11\n"
+    assert cli.main(["text", str(tmp_path / "none")]) == 1 and cli.main(["convert", str(source), "-o", str(out), "-w", "0"]) == 1
+
+
+def test_single_prompts(spark, tmp_path, capsys):
+    (tmp_path / "p.yaml").write_text("system: base\nsystem_vlm: look\nsystem_llm: read\nuser: 'doc {{documento}}{{descripcion}} {{centro_costo}}'\nuser_vlm: 'see {{documento}}'\n")
+    (tmp_path / "docs").mkdir()
+    for n in "ba":
+        (tmp_path / "docs" / f"{n}.md").write_text(f"text {n}")
+    (tmp_path / "i.png").write_bytes(b"\x89PNG")
+    base = ["-p", str(tmp_path / "p.yaml"), "-M"]
+    assert cli.main(["prompt", str(tmp_path / "docs"), *base, "ccc", "-o", str(tmp_path / "r.json")]) == 1  # the stand-in answers no JSON where none is asked for
+    assert "no JSON object" in capsys.readouterr().err
+    assert cli.main(["prompt", str(tmp_path / "docs"), *base, "kvg", "-o", str(tmp_path / "r.json")]) == 0
+    got = json.loads((tmp_path / "r.json").read_text())
+    assert [k.rsplit("/", 1)[1] for k in got] == ["a.md", "b.md"] and all(v["first_word"] == "doc" for v in got.values())
+    capsys.readouterr()
+    assert cli.main(["prompt", str(tmp_path / "i.png"), *base, "kvi"]) == 0
+    assert json.loads(capsys.readouterr().out) == {"n_messages": 2, "n_chars": 4, "first_word": "see"}
+    assert cli.main(["prompt", str(tmp_path / "docs"), *base, "mcc"]) == 1 and "cost centre" in capsys.readouterr().err
+    assert cli.main(["prompt", str(tmp_path / "docs"), *base, "cfc", "--cost-center", "CC0001"]) == 1 and "macro category" in capsys.readouterr().err
+
+
+def test_ordered_export_of_a_folder(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    for n in "ba":
+        (tmp_path / "docs" / f"{n}.md").write_text(f"text {n}")
+    assert cli.main(["extract", str(tmp_path / "docs"), "-o", str(tmp_path / "out"), "--export", str(tmp_path / "all.json")]) == 0
+    got = json.loads((tmp_path / "all.json").read_text())
+    assert [x["archivo"].rsplit("/", 1)[1] for x in got] == ["a.md", "b.md"] and set(got[0]["extracciones"]) == set(pipelines.EXTRACTION)
+    assert got[0]["extracciones"][pipelines.EXTRACTION[0]]["n_messages"] == 2
+
+
 def test_stream_processes_files_once(spark, tmp_path):
     write_sources(tmp_path / "in")
     (tmp_path / "in" / "sub" / "b.PDF").rename(tmp_path / "in" / "b.PDF")
