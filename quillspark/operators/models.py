@@ -49,9 +49,9 @@ def echo_backend(messages: Messages, as_json: bool) -> str:
 
 
 def messages(system: Column, user: Column, image: Column | None = None) -> Column:
-    """A system and a user message; an image, if any, goes base64 with the user's."""
+    """A system and a user message; an image, if any, goes base64 with the user's, in one line."""
     shape = "array<struct<role:string,content:string,images:array<string>>>"
-    images = F.when(image.isNotNull(), F.array(F.base64(image))) if image is not None else F.lit(None)
+    images = F.when(image.isNotNull(), F.array(F.translate(F.base64(image), "\r\n", ""))) if image is not None else F.lit(None)
     none = F.lit(None).cast("array<string>")
     return F.array(F.struct(F.lit("system").alias("role"), system.alias("content"), none.alias("images")), F.struct(F.lit("user").alias("role"), user.alias("content"), images.cast("array<string>").alias("images"))).cast(shape)
 
