@@ -203,7 +203,9 @@ def assemble(records: DataFrame) -> DataFrame:
     }
     kinds = {"request": ["request"], "response": ["response", "revisit"], "metadata": ["metadata"]}
     picked = [F.any_value(F.when(F.col("record_type").isin(kinds[p]), F.col(c)), F.lit(True)).alias(f"{p}_{c}") for p, cols in part.items() for c in cols]
-    one = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(*picked)
+    one = records.groupBy(F.coalesce("concurrent_to", "record_id").alias("capture_id")).agg(*picked, F.count("*").alias("n"))
+    # a filter that keeps all: without one the structures below move into the aggregation, and their unread columns through the shuffle
+    one = one.filter("n > 0")
     nested = [F.struct(*[F.col(f"{p}_{c}").alias(c) for c in cols]).alias(p) for p, cols in part.items()]
     return one.select("capture_id", *nested)
 

@@ -90,6 +90,12 @@ def test_empty_table(spark, tmp_path):
     assert warc.op10_warc(spark, tables(spark, tmp_path, pages=frame(spark, [], SCHEMA))).count() == 0
 
 
+def test_payloads_that_nobody_reads_are_not_shuffled(spark, small):
+    plan = warc.op10_warc(spark, small)._jdf.queryExecution().executedPlan().toString()
+    keys = [x for x in plan.splitlines() if "Aggregate(key=" in x]
+    assert keys and not any("THEN payload#" in x for x in keys)
+
+
 def test_sql_agrees(spark, small):
     con = duckdb.connect()
     con.sql(f"create view pages as select * from '{small}/pages.parquet'")
