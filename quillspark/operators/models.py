@@ -8,6 +8,7 @@ it twice. The offline backend answers by fixed rules and makes runs repeatable.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -25,20 +26,29 @@ BATCH_ROWS = 16
 
 @dataclass(frozen=True)
 class HttpBackend:
-    """A chat server that takes and returns JSON over HTTP; unlike many clients it has a timeout."""
+    """A chat server that takes and returns JSON over HTTP, with a timeout; a call that can't be made or that the server fails is tried again."""
 
     url: str
     model: str
     timeout: float = 300.0
     options: tuple[tuple[str, int], ...] = ()
+    retries: int = 2
+    wait: float = 1.0
 
     def __call__(self, messages: Messages, as_json: bool) -> str:
         import urllib.request
 
         body = {"model": self.model, "messages": messages, "stream": False} | ({"format": "json"} if as_json else {}) | ({"options": dict(self.options)} if self.options else {})
         request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"})
-        with urllib.request.urlopen(request, timeout=self.timeout) as reply:
-            return json.loads(reply.read())["message"]["content"]
+        for attempt in range(self.retries + 1):
+            try:
+                with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+                    return json.loads(reply.read())["message"]["content"]
+            except OSError as e:  # URLError and HTTPError are such
+                if attempt == self.retries or getattr(e, "code", 500) < 500:
+                    raise
+                time.sleep(self.wait * 2**attempt)
+        raise AssertionError("unreachable")
 
 
 def echo_backend(messages: Messages, as_json: bool) -> str:

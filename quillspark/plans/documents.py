@@ -164,7 +164,7 @@ def accepted_signatures(pics: DataFrame, least: float = 0.6) -> DataFrame:
     """pics (doc_id, vec_id, classes: best first) whose first class is signature; file names count accepted ones from 1."""
     from pyspark.sql import Window
 
-    top = F.try_element_at("classes", F.lit(1))
+    top = F.get("classes", F.lit(0))
     kept = pics.filter((top["class_name"] == "signature") & (top["confidence"] >= least)).withColumn("confidence", top["confidence"])
     kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("vec_id")))
     return kept.select("doc_id", "vec_id", "confidence", "n", F.format_string("firma_%02d_conf%.2f.png", "n", "confidence").alias("file_name"))

@@ -9,11 +9,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from quillspark.functions import geometry
+from quillspark.functions.text import stem
 from quillspark.operators import layout, models, state
 from quillspark.sources.converter import Converter, convert_files
-from quillspark.sources.files import MODES
+from quillspark.sources.files import MODES, image_size
+from quillspark.sources.sinks import write_crops
 
 Prompts = dict[str, dict[str, str]]
 # The steps by the names of their prompts.
@@ -122,6 +125,19 @@ def process_folder(files: DataFrame, done: DataFrame | None, factory: Callable[[
     return convert_documents(new, factory, choice).union(skipped)
 
 
+def detected_images(files: DataFrame, factory: Callable[[], Converter], folder: str, cut: Callable[[bytes, tuple[int, int, int, int]], bytes]) -> DataFrame:
+    """(name, path, error) of the pictures found in image files (path, content), cut out by cut and written to folder.
+
+    Pictures are numbered per file in item order before those without a place or a pixel go; files without a readable size give none.
+    """
+    boxes = convert_files(files, factory).filter("label = 'picture' and error is null")
+    numbered = boxes.withColumn("pic_ix", F.row_number().over(Window.partitionBy("path").orderBy("item_ix")) - 1).filter("l is not null")
+    sized = files.select("path", "content", image_size("content").alias("size")).filter("size.width is not null")
+    crops = numbered.join(sized, "path").withColumns({"img_w": F.col("size.width"), "img_h": F.col("size.height")})
+    crops = crops.withColumns(geometry.crop_rectangle("img_w", "img_h")).filter("crop_right > crop_left AND crop_bottom > crop_top")
+    return write_crops(crops.withColumn("file_name", F.concat(stem("path"), F.lit("_detected_"), F.col("pic_ix").cast("string"), F.lit(".png"))), folder, cut)
+
+
 def done_before(spark: SparkSession, path: str) -> DataFrame | None:
     """(path) of the documents that a table of conversions holds, None if there is no table yet."""
     try:

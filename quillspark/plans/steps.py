@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.functions import jsonx
+from quillspark.functions import geometry, jsonx
 from quillspark.operators import answers, catalogs, layout, models, rules
 from quillspark.plans import documents, documents_text, pipelines
 from quillspark.plans.util import columns
@@ -133,7 +133,34 @@ def image_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.box_report(documents.boxes(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (center_rules, macro_rules, generic_answers, nested_answers, request_defaults, prompt_answers, question_answers, image_payloads, folder_conversion, document_texts, path_positions, converted_text, raw_text, image_report)}
+def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Width and height by the headers of images: PNG, JPEG with a comment before its frame, BMP, and no image."""
+    w, h = F.col("w"), F.col("h")
+    wide = lambda c: F.lpad(F.hex(c), 8, "0")
+    short = lambda c: F.lpad(F.hex(c), 4, "0")
+    little = lambda c: F.concat(*[F.substring(wide(c), i, 2) for i in (7, 5, 3, 1)])
+    made = (
+        F.when(F.col("k") == 0, F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), wide(w), wide(h), F.lit("08060000")))
+        .when(F.col("k") == 1, F.concat(F.lit("FFD8FFFE00040101FFC0001108"), short(h), short(w), F.lit("0301")))
+        .when(F.col("k") == 2, F.concat(F.lit("424D00000000000000003600000028000000"), little(w), little(h), F.lit("0100")))
+    )
+    pages = read(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 4).alias("k"), (F.col("page_id") % 900 + 10).alias("w"), (F.col("page_id") % 700 + 20).alias("h"))
+    return pages.select("page_id", files.image_size(F.unhex(F.coalesce(made, F.lit("00FF")))).alias("size")).select("page_id", "size.width", "size.height")
+
+
+def raw_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons, texts and scores of a raw reader, with the polygons' centres."""
+    b = documents.boxes(spark, sf_dir)
+    corner = lambda x, y: F.concat(F.lit("["), F.col(x).cast("string"), F.lit(", "), F.col(y).cast("string"), F.lit("]"))
+    item = F.concat(F.lit("[["), F.concat_ws(", ", corner("l", "t"), corner("r", "t"), corner("r", "b"), corner("l", "b")), F.lit("], "), jsonx.json_string("text"), F.lit(", 0."), (F.col("item_ix") % 90 + 10).cast("string"), F.lit("]"))
+    rows = b.select("doc_id", "item_ix", item.alias("item")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item_ix", "item"))).alias("x"))
+    content = F.when(F.col("doc_id") % 11 == 0, F.lit("[[1]]")).otherwise(F.concat(F.lit("["), F.array_join(F.transform("x", lambda v: v["item"]), ", "), F.lit("]")))
+    got = converter.read_tuples(rows.select(F.col("doc_id").cast("string").alias("path"), content.cast("binary").alias("content")))
+    x, y = geometry.polygon_centre("poly")
+    return got.select("path", "item_ix", "text", "score", x.alias("x"), y.alias("y"), F.col("error").isNotNull().alias("failed"))
+
+
+QUERIES = {f.__name__: f for f in (image_sizes, raw_reader, center_rules, macro_rules, generic_answers, nested_answers, request_defaults, prompt_answers, question_answers, image_payloads, folder_conversion, document_texts, path_positions, converted_text, raw_text, image_report)}
 
 _FOLD = "translate(lower(coalesce({c}, '')), 'áéíóúüñ', 'aeiouun')"
 
@@ -174,6 +201,10 @@ ORACLE_SQL = {
     "prompt_answers": "SELECT doc_id, 2 AS n_messages, CAST(length(source || ' ' || coalesce(text, '')) AS BIGINT) AS n_chars, source AS first_word, CAST(NULL AS VARCHAR) AS error FROM documents",
     "question_answers": "SELECT doc_id, " + ", ".join(f"split_part('{q}', ' ', 1) || ' ' || length('{q}') AS {k}" for k, q in QUESTIONS) + " FROM documents",
     "image_payloads": "SELECT page_id, CAST(length(base64(encode(html))) AS BIGINT) AS n_chars, md5(base64(encode(html))) AS payload_md5 FROM pages",
+    "image_sizes": "SELECT page_id, CASE WHEN page_id % 4 < 3 THEN CAST(page_id % 900 + 10 AS INTEGER) END AS width, CASE WHEN page_id % 4 < 3 THEN CAST(page_id % 700 + 20 AS INTEGER) END AS height FROM pages",
+    "raw_reader": f"""WITH boxes AS ({documents.BOXES}), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY item_ix) - 1 AS INTEGER) AS ix FROM boxes)
+      SELECT CAST(doc_id AS VARCHAR) AS path, ix AS item_ix, text, CAST('0.' || (item_ix % 90 + 10) AS DOUBLE) AS score, (((0.0 + l) + r) + r + l) / 4 AS x, (((0.0 + t) + t) + b + b) / 4 AS y, false AS failed FROM n WHERE doc_id % 11 <> 0
+      UNION ALL SELECT DISTINCT CAST(doc_id AS VARCHAR), CAST(NULL AS INTEGER), NULL, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), true FROM boxes WHERE doc_id % 11 = 0""",
     "folder_conversion": f"""WITH s AS (SELECT {SCANS} FROM pages) SELECT path, CASE WHEN page_id % 3 > 0 AND page_id % 5 > 0 THEN 'horizontal' END AS orientation, CASE WHEN page_id % 3 > 0 THEN {_BARE} END AS markdown,
         CASE WHEN page_id % 3 = 0 THEN 'skipped' WHEN page_id % 5 = 0 THEN 'error' ELSE 'success' END AS status, page_id % 3 > 0 AND page_id % 5 = 0 AS failed FROM s""",
     "document_texts": f"""WITH s AS (SELECT {SCANS} FROM pages) SELECT path, CASE WHEN page_id % 4 = 2 THEN content WHEN page_id % 4 < 2 THEN {_BARE} END AS text,

@@ -64,6 +64,23 @@ def tuple_converter() -> Converter:
     return convert
 
 
+def read_tuples(files: DataFrame) -> DataFrame:
+    """files (path, content) of a raw reader, JSON lists of [polygon, text, score], to (path, item_ix, poly, text, score, error): nothing is dropped or rounded to boxes."""
+    schema = "path string, item_ix int, poly array<struct<x:double,y:double>>, text string, score double, error string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows: list[tuple] = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    rows += [(path, i, [{"x": float(x), "y": float(y)} for x, y in poly], text, float(score), None) for i, (poly, text, score) in enumerate(json.loads(bytes(content)))]
+                except (ValueError, TypeError) as e:
+                    rows.append((path, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "item_ix", "poly", "text", "score", "error"])
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
 def convert_files(files: DataFrame, factory: Callable[[], Converter]) -> DataFrame:
     """files (path, content) to boxes with error: items numbered in document order."""
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import struct
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from quillspark.functions.text import suffix
 
@@ -70,6 +72,32 @@ def require_markdown_files(spark: SparkSession, source: str) -> DataFrame:
     return got
 
 
+def _size_of(data: bytes | None) -> tuple[int, int] | None:
+    """(width, height) by the header of a PNG, GIF, BMP or JPEG."""
+    data = data or b""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return struct.unpack(">II", data[16:24])
+    if data[:4] == b"GIF8" and len(data) >= 10:
+        return struct.unpack("<HH", data[6:10])
+    if data[:2] == b"BM" and len(data) >= 26:
+        width, height = struct.unpack("<ii", data[18:26])
+        return width, abs(height)
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 9 <= len(data) and data[at] == 0xFF:
+        kind, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame header
+            height, width = struct.unpack(">HH", data[at + 5 : at + 9])
+            return width, height
+        at += 2 + size
+    return None
+
+
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
+def image_size(content: pd.Series) -> pd.DataFrame:
+    """(width, height) of image bytes, nulls where no header of a known kind is there."""
+    return pd.DataFrame([_size_of(c) or (None, None) for c in content], columns=["width", "height"]).astype("Int32")
+
+
 def load_prompts(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(prompt_id, system, system_llm, system_vlm, user, user_vlm) of YAML prompt files; keys that are missing are null."""
     import yaml

@@ -1,6 +1,12 @@
+import functools
+import io
 import json
+import time
+import urllib.error
+import urllib.request
 
 import pytest
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
 from quillspark import cli
@@ -203,6 +209,59 @@ def test_ordered_export_of_a_folder(spark, tmp_path):
     assert got[0]["extracciones"][pipelines.EXTRACTION[0]]["n_messages"] == 2
 
 
+def test_detected_images(spark, tmp_path):
+    png = b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR" + (200).to_bytes(4, "big") + (100).to_bytes(4, "big")
+    items = [["text", "t", 1, 0, 10, 5, 0], ["picture", None, 1, 10, 90, 60, 40], ["picture", None, 1, None, None, None, None], ["picture", None, 1, 150, 50, 400, 20]]
+    rows = [("x/a.png", png), ("x/b.png", b"no image")]
+    got = pipelines.detected_images(spark.createDataFrame(rows, "path string, content binary"), functools.partial(fixed_items, items), str(tmp_path), lambda content, box: repr(box).encode()).collect()
+    assert {r["name"]: (tmp_path / r["name"]).read_text() for r in got} == {"a_detected_0.png": "(10, 10, 60, 60)", "a_detected_2.png": "(150, 50, 200, 80)"}
+
+
+def fixed_items(items):
+    return lambda path, content: [tuple(x) for x in items]
+
+
+def test_tagged_jobs_are_stopped(spark):
+    from quillspark.operators import ops
+
+    failed = []
+
+    def work():
+        with ops.tagged(spark, "test-stop"):
+            try:
+                spark.range(10**9).repartition(4).selectExpr("sum(hash(id, 'x'))").collect()
+                spark.range(10**11).selectExpr("sum(hash(id, 'x'))").collect()
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+
+    thread = InheritableThread(target=work, session=spark)
+    thread.start()
+    for _ in range(60):
+        time.sleep(0.5)
+        ops.stop(spark, "test-stop")
+        if not thread.is_alive():
+            break
+    thread.join(30)
+    assert failed and "cancel" in str(failed[0]).lower()
+    assert spark.range(3).count() == 3
+
+
+def test_servers_are_asked_again(monkeypatch):
+    calls = []
+
+    def answer(request, timeout):
+        calls.append(timeout)
+        if len(calls) < 3:
+            raise urllib.error.URLError("down")
+        return io.BytesIO(b'{"message": {"content": "yes"}}')
+
+    monkeypatch.setattr(urllib.request, "urlopen", answer)
+    assert models.HttpBackend("http://x", "m", wait=0.0)([{"role": "user", "content": "?"}], True) == "yes" and len(calls) == 3
+    calls.clear()
+    with pytest.raises(OSError):
+        models.HttpBackend("http://x", "m", retries=1, wait=0.0)([{"role": "user", "content": "?"}], True)
+
+
 def test_stream_processes_files_once(spark, tmp_path):
     write_sources(tmp_path / "in")
     (tmp_path / "in" / "sub" / "b.PDF").rename(tmp_path / "in" / "b.PDF")
