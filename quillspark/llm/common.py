@@ -33,6 +33,12 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder: it cuts lineage and outlives executors."""
     sc = df.sparkSession.sparkContext

@@ -98,7 +98,7 @@ def written(print_: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of two arrays of distinct hashes; null if either is."""
+    """Of two arrays of distinct hashes, from 0 (none shared) to 1 (equal, or both empty); null if either is."""
     both, total = F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)
     return F.when(a.isNotNull() & b.isNotNull(), F.when(total > 0, 2.0 * both / total).otherwise(1.0))
 

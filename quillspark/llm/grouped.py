@@ -5,6 +5,9 @@ to block nodes (and BYTES of data) is linked where it lies. Of a larger one ever
 hub, its least node; rows near the hub are connected by that alone. What is left, the far rows, is dealt against all
 rows of the group in pairs of blocks: each pair of nodes of which one is far meets in a task of at most two blocks,
 so a group of copies costs one comparison a row. A group yields at most one link a node and task, never all its pairs.
+
+Keys, nodes and data are never null. Rows that repeat a (key, node) count once, with the data of one of them, which
+callers keep equal; of nodes equally near the order is that of their numbers. No rows give no links.
 """
 
 from __future__ import annotations

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quillspark.llm.common import checkpoint, hot_keys, python_stage, row_keys, table
+from quillspark.llm.common import checkpoint, hot_keys, python_stage, remove, row_keys, table
 from quillspark.llm.components import lookup
 
 CUT_BITS = 5
@@ -232,8 +232,7 @@ def discard(df: DataFrame) -> None:
     """Delete the files of a checkpoint that nothing reads any more."""
     file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
     if file.isDefined():
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, file.get())
 
 
 def row_spans(rows: DataFrame, min_run: int) -> DataFrame:
@@ -285,7 +284,8 @@ def without(text: str | None, spans: list | None) -> str | None:
 
 
 def remove_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """docs with each row's text less what an earlier place holds."""
+    """docs with each row's text less what an earlier place holds. A null text stays null, a text that is a copy as a whole
+    becomes empty; of rows that agree in doc_id and text the first as numbered keeps it. Columns stay, whatever their names."""
     keyed, _ = row_keys(docs)
     rows = keyed.select(F.col("__row").alias("row"), F.col("__whole.text").alias("text"), "__whole")
     spans = row_spans(rows.select("row", "text"), min_run).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))

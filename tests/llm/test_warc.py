@@ -64,6 +64,12 @@ def test_rows_that_agree_in_page_and_payload_keep_their_urls(spark, tmp_path):
     assert len(revisits) == 3 and all(known[r["response"]["refers_to"]]["metadata"]["page_id"] == 1 for r in revisits)
 
 
+def test_very_long_pages(spark, tmp_path):
+    rows = [(1, "u", "é<p>" * 3_000_000, "p"), (2, "u", "é<p>" * 3_000_000, "p"), (3, "u", "WARC/1.1\r\n" * 100_000, "p")]
+    got = warc.op10_warc(spark, tables(spark, tmp_path, pages=frame(spark, rows, SCHEMA)))
+    assert sorted(map(tuple, got.collect()), key=str) == want(rows)
+
+
 def test_many_copies_of_one_row(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "COPIES", 7)
     got = warc.op10_warc(spark, tables(spark, tmp_path, pages=frame(spark, [(4, "u", "same", "p")] * 60 + [(5, "u", "same", "p")], SCHEMA))).collect()
