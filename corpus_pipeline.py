@@ -1,7 +1,7 @@
 """Documents to training tokens: quality filter, near-duplicate removal, decontamination, redaction, encoding.
 
 Each stage is written as Parquet in the shared folder and read again as the next one's documents, so a
-lost executor costs a stage at most. All stages but the last return the columns of documents.
+lost executor costs a stage at most; it goes when the next one is written. All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import bpe, decontaminate, pii, quality, simhash
-from quillspark.llm.common import shared_dir, table
+from quillspark.llm.common import remove, shared_dir, table
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -60,9 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_dir(spark, "stage-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # the stage's own table is whole, so the one it was made of is read no more
+            remove(spark, before)
+        before = path
     return docs
