@@ -161,15 +161,15 @@ def hot_digests(every: DataFrame) -> DataFrame:
 
 
 def copies(every: DataFrame) -> DataFrame:
-    """(row, ix, digest, owner) of the chunks that an earlier place holds; owner is the first row that does."""
+    """(row, ix, digest, owner) of the chunks that an earlier place holds; owner is the first row that does.
+
+    Chunks are dealt by digest once, those of hot digests, whose first row is known, by their rows as well.
+    """
     marked = every.join(F.broadcast(hot_digests(every)), ["d1", "d2"], "left")
-    found = []
-    for owned in (
-        marked.filter("first is null").withColumn("owner", F.min("row").over(Window.partitionBy("d1", "d2"))),
-        marked.filter("first is not null").withColumn("owner", F.col("first")),
-    ):
-        found.append(owned.filter("again or owner < row").select("row", "ix", F.struct("d1", "d2").alias("digest"), "owner"))
-    return found[0].union(found[1])
+    salt = F.when(F.col("first").isNotNull(), F.pmod(F.xxhash64("row"), F.lit(1 << 20))).otherwise(0)
+    alike = Window.partitionBy("d1", "d2", "salt")
+    owned = marked.withColumn("salt", salt).withColumn("owner", F.coalesce("first", F.min("row").over(alike)))
+    return owned.filter("again or owner < row").select("row", "ix", F.struct("d1", "d2").alias("digest"), "owner")
 
 
 def common(a: str | None, b: str | None, side: int) -> int:
