@@ -36,8 +36,8 @@ SECRET_CUES = ("token", "password", "passwd", "api_key", "apikey", "secret")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://", "redis://")
 ACCOUNT = re.compile(r"(?:\s*(?:no|number|nr|num)\b\.?)?\s{0,3}[:#=]?\s{0,3}((?=[A-Z0-9-]{0,21}[0-9]{3})[A-Z0-9][A-Z0-9-]{4,22}[A-Z0-9])(?![A-Za-z0-9])")
 SECRET = re.compile(r"\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=-]{16,})")
-#: Without width, so that one that fails hides none that begins inside it.
-IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}))")
+#: One letter wide, so that one that fails hides none that begins inside it; a letter or digit before it is looked for in the parser.
+IBAN = re.compile(r"[A-Z](?=([A-Z][0-9]{2}(?:[ ]?[A-Z0-9]){11,30}))")
 URL_USER = re.compile(r"[^\s/@:\"'<>]++:[^\s/@\"'<>]++@[A-Za-z0-9.-]++(?::[0-9]+)?")
 
 
@@ -108,8 +108,10 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
         anchors.setdefault(kind, []).append(end - n + 1 if kind in ("email", "phone") else end + 1)
     out: list[tuple[str, int, int]] = [("email", s, e) for s, e in emails(text, anchors.get("email", ()))]
     for m in DOTTED.finditer(text):
-        parts = m[0].split(".")
         at = m.start()
+        if m.end() - at < 7:
+            continue
+        parts = m[0].split(".")
         for i in range(0, len(parts) - 3, 4):  # four numbers at a time, as the pattern takes them
             four = parts[i : i + 4]
             end = at + sum(map(len, four)) + 3
@@ -132,9 +134,10 @@ def spans_of(text: str | None) -> list[tuple[str, int, int]]:
             out.append(("url", m.start(), m.end()))
     last = 0
     for m in IBAN.finditer(text):
-        if m.start() >= last and (n := iban_end(m[1], text[m.end(1) : m.end(1) + 1])):
-            last = m.start() + n
-            out.append(("iban", m.start(), last))
+        at, end = m.start(), m.end(1)
+        if at >= last and not (at and text[at - 1].isascii() and text[at - 1].isalnum()) and (n := iban_end(text[at:end], text[end : end + 1])):
+            last = at + n
+            out.append(("iban", at, last))
     for kind, pattern in (("account", ACCOUNT), ("secret", SECRET)):
         last = 0
         for at in anchors.get(kind, ()):
