@@ -150,13 +150,12 @@ def chunks(rows: DataFrame) -> DataFrame:
 def hot_digests(every: DataFrame) -> DataFrame:
     """(d1, d2, first) of the digests that hold over HOT_SHARE of all chunks, fewer than 1 / HOT_SHARE of them; first is the first row that has it.
 
-    The size of a digest's bucket tells where to look, so that few digests are counted.
+    The size of a digest's bucket tells where to look, so that few digests are counted; as few buckets can be large.
     """
     total = max(1, every.count())
     bucket = F.pmod("d1", F.lit(BUCKETS)).cast("int")
-    large = hot_keys(every.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")), total).select("bucket")
-    some = every.withColumn("bucket", bucket).join(F.broadcast(large), "bucket", "left_semi")
-    counts = some.groupBy("d1", "d2").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    large = [r["bucket"] for r in hot_keys(every.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")), total).select("bucket").collect()]
+    counts = every.filter(bucket.isin(large)).groupBy("d1", "d2").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     return checkpoint(hot_keys(counts, total).select("d1", "d2", "first"))
 
 
