@@ -55,6 +55,48 @@ def test_pairs_rank_good_above_bad():
     assert abs((model.strength(x) < model.threshold).mean() - (1 - y.mean())) < 0.02
 
 
+@pytest.mark.parametrize(("seed", "apart"), [(1, [2.0, 0.0, -1.0]), (2, [9.0, 1.0, 0.0]), (3, [0.3, 0.1, 0.0])])
+def test_weights_are_those_of_all_pairs(seed, apart):
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 2, 300)
+    x = rng.normal(size=(300, 3)) + y[:, None] * apart
+    model = quality.fit(x, y, float(1 - y.mean()))
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6)
+    pairs = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 3)
+    w = np.zeros(3)
+    for _ in range(60):  # Newton's method on every pair
+        p = 1 / (1 + np.exp(np.clip(pairs @ w, -500, 500)))
+        share = quality.PAIRS / len(pairs)
+        w = w - np.linalg.solve(share * (pairs * (p * (1 - p))[:, None]).T @ pairs + np.eye(3), w - share * pairs.T @ p)
+    assert model.weights == pytest.approx(w, rel=5e-4, abs=5e-4)
+    s = np.sort(model.strength(x))
+    assert model.threshold == pytest.approx(s[(y == 0).sum() - 1 : (y == 0).sum() + 1].mean(), abs=1e-12)
+
+
+@pytest.mark.parametrize("shares", [(0.0, 1.0), (0.3, 0.3), (0.9, 0.1)])
+def test_threshold_among_equal_strengths(shares):
+    rng = np.random.default_rng(5)
+    s, y = rng.integers(0, 40, 3000) / 7, rng.integers(0, 2, 3000)
+    n = np.bincount(y)
+    mass = np.array([shares[0], 1 - shares[0]]) / n
+    got = quality.quantile(lambda work: [work(iter([(s[i : i + 700], y[i : i + 700])])) for i in range(0, 3000, 700)], lambda x: x, mass, shares[1])
+    order = np.argsort(s, kind="stable")
+    below = min(int(np.searchsorted(np.cumsum(mass[y[order]]), shares[1] - 1e-9)), 2999)
+    assert got in {s[order][below], (s[order][below] + s[order][min(below + 1, 2999)]) / 2}
+
+
+def test_every_labelled_row_is_learned_from(spark, tmp_path):
+    docs = [(i, f"word{i} and {'more ' * (i % 9)}" + ("!! " * (i % 5) if i % 2 else "plain text. ")) for i in range(16_000)] + [(None, "no identifier")]
+    labels = frame(spark, [(i, int(i % 2 == 0), 0) for i, _ in docs[:-1]], LABELS)
+    model = quality.train(frame(spark, docs), labels)
+    rows = [(i, t) for i, t in docs[:-1] if zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([quality.features(t) for _, t in rows]), np.array([int(i % 2 == 0) for i, _ in rows])
+    assert min(np.bincount(y)) > 6000
+    assert model.center == pytest.approx(x.mean(axis=0), rel=1e-9) and model.scale == pytest.approx(x.std(axis=0) + 1e-6, rel=1e-6)
+    plain = quality.fit(x, y, float(1 - y.mean()))
+    assert model.weights == pytest.approx(plain.weights, rel=1e-5, abs=1e-5) and model.threshold == pytest.approx(plain.threshold, rel=1e-5, abs=1e-5)
+
+
 def test_folding():
     assert toxicity.words_of("1d10t ІDІΟT scu​m lo5er$$$ 15 cats") == ["idiot", "idiot", "scum", "loser", "cats"]
 
