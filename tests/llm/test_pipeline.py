@@ -1,8 +1,11 @@
+import random
+import zlib
+
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from quillspark.llm import pii
+from quillspark.llm import pii, quality
 from tests.llm.test_bpe import PLAIN
 from tests.llm.util import EDGES, frame, tables
 
@@ -43,3 +46,17 @@ def test_empty_table(spark, tmp_path, stage):
     docs = frame(spark, [], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     sf = tables(spark, tmp_path, labels=frame(spark, [], "doc_id bigint, quality int, toxic int"), benchmark=frame(spark, [], "item_id bigint, text string"))
     assert stage(spark, docs, sf).count() == 0
+
+
+def test_first_stage_learns_from_every_labelled_row(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["plain", "words", "here", "!!!", "AB", "7"][: 3 + rng.randrange(4 - i % 2)]) for _ in range(12))) for i in range(16_000)]
+    docs = frame(spark, [(k, t, "en", "s", len(t)) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    sf = tables(spark, tmp_path, labels=frame(spark, [(k, k % 2, 0) for k, _ in rows], "doc_id bigint, quality int, toxic int"))
+    known = [(k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 5]
+    x, y = np.array([quality.features(t) for _, t in rows]), np.array([k % 2 for k, _ in known])
+    plain = quality.fit(x[[k for k, _ in known]], y, float(1 - y.mean()))
+    wanted = {k for (k, _), s in zip(rows, plain.strength(x), strict=True) if s >= plain.threshold}
+    got = {r["doc_id"] for r in corpus_pipeline.keep_quality(spark, docs, sf).select("doc_id").collect()}
+    assert min(np.bincount(y)) > 6000 and 1000 < len(wanted) < 15_000
+    assert len(got ^ wanted) <= 2  # rows at the threshold, but for rounding
