@@ -52,6 +52,12 @@ def _set_by_user(spark: SparkSession) -> set[str]:
     return ARROW.keys() & spark.conf.getAll.keys()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that the session hands to Python, where it sets no bound itself; both sides of the pipe hold whole batches."""
+    for key in ARROW.keys() - _set_by_user(spark):
+        spark.conf.set(key, ARROW[key])
+
+
 def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
     """(__row, __whole) of every row of docs, a number of its own in the order of id_col and the row as a structure; and whether the numbers are the identifiers.
 
@@ -77,9 +83,7 @@ def python_stage(df: DataFrame, inputs: list[str], outputs: str, fn: Callable[..
 
     Other columns pass through unread. A column of df that has the name of an output is replaced.
     """
-    for key, value in ARROW.items():  # both sides of the pipe hold whole batches, so these bound memory
-        if key not in _set_by_user(df.sparkSession):
-            df.sparkSession.conf.set(key, value)
+    bound_batches(df.sparkSession)
     out = T._parse_datatype_string(outputs)
     kept = [c for c in df.columns if c not in out.names]
     mark = "__in"

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quillspark.llm.common import checkpoint, hot_keys, python_stage, remove, row_keys, table
+from quillspark.llm.common import bound_batches, checkpoint, hot_keys, python_stage, remove, row_keys, table
 from quillspark.llm.components import lookup
 
 CUT_BITS = 5
@@ -144,6 +144,7 @@ def chunks(rows: DataFrame) -> DataFrame:
             if parts:
                 yield flush(parts)
 
+    bound_batches(rows.sparkSession)
     return rows.select("row", "text").mapInArrow(run, "row bigint, ix int, d1 bigint, d2 bigint, again boolean")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from quillspark.llm import substring
+from quillspark.llm import common, substring
 from tests.llm.util import frame
 
 
@@ -155,3 +155,10 @@ def test_recall_of_51_words_on_sf01(spark):
         w = t.split()
         late |= {k for i in range(len(w) - 50) if first.setdefault(hash(tuple(w[i : i + 51])), k) != k}
     assert late and late <= {r["doc_id"] for r in substring.op4_substring_dedup(spark, str(path)).collect()}
+
+
+def test_texts_come_in_bounded_batches_in_a_new_session(spark):
+    new = spark.newSession()  # its settings are Spark's own until an operator sets them
+    rows = new.createDataFrame([(i, f"text {i}") for i in range(3)], "row bigint, text string")
+    assert substring.chunks(rows).count() == 3
+    assert {k: new.conf.get(k) for k in common.ARROW} == common.ARROW
