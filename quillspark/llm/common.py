@@ -5,9 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 #: Rows a group may hold before it counts as hot, as a share of all rows: at most 1 / HOT_SHARE keys can pass it, so a table of hot keys has a proven bound.
 HOT_SHARE = 1 / 2000
@@ -15,6 +16,8 @@ HOT_SHARE = 1 / 2000
 BATCH_CHARS = 2_000_000
 #: Most rows and bytes of an Arrow batch that Spark hands to a Python stage of texts, where the session sets none itself.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+#: Whether a DataFrame's shuffle files go when its action ends (Spark 4.1; it decides as the DataFrame is made).
+BRIEF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +42,38 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """DataFrames made inside lose their shuffle files as their action ends, for results that are kept elsewhere.
+
+    Else the files stay until the driver happens to collect its garbage; with many partitions those of a few hundred
+    small shuffles, each of three files a task, outgrow the data. A DataFrame that runs again makes its files anew.
+    """
+    before = spark.conf.get(BRIEF, "false")
+    spark.conf.set(BRIEF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(BRIEF, before)
+
+
+def totals(df: DataFrame, *columns: Column) -> Row:
+    """The one row of aggregates over df."""
+    with brief_shuffles(df.sparkSession):
+        return df.agg(*columns).first()
+
+
+def count(df: DataFrame) -> int:
+    return totals(df, F.count("*"))[0]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder: it cuts lineage and outlives executors."""
+    """A reliable checkpoint in the shared folder: it cuts lineage and outlives executors, and needs no shuffle files any more."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(df.sparkSession, "checkpoints"))
-    return df.checkpoint(eager=True)
+    with brief_shuffles(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a DataFrame of its own, since df may run again
 
 
 def _set_by_user(spark: SparkSession) -> set[str]:
@@ -68,7 +97,9 @@ def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     id_ = F.col(f"`{id_col}`")
     whole = docs.select(id_.cast("long").alias("__row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__whole"))
-    if not whole.groupBy("__row").count().filter("count > 1 or __row is null").limit(1).count():
+    with brief_shuffles(spark):
+        unique = whole.groupBy("__row").count().filter("count > 1 or __row is null").isEmpty()
+    if unique:
         return whole, True
     order = [F.col("__row").asc_nulls_last(), F.col("__text"), F.col("__salt")]
     marked = whole.select("__row", F.xxhash64(F.col(f"__whole.`{text_col}`")).alias("__text"), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)).alias("__salt"), "__whole")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.common import checkpoint, hot_keys
+from quillspark.llm.common import checkpoint, hot_keys, totals
 
 
 def lookup(rows: DataFrame, key: str, values: DataFrame, total: int, spread: str) -> DataFrame:
@@ -45,7 +45,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = edges.dropna().filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before = checkpoint(now), None
     for _ in range(max_rounds):
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        state = totals(now, F.count("*"), F.bit_xor(F.xxhash64("a", "b")))
         if state[0] == 0 or state == before:
             break
         before = state

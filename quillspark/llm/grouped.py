@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.common import checkpoint
+from quillspark.llm.common import checkpoint, count, totals
 from quillspark.llm.components import lookup
 
 #: near(data, other): for rows of bytes (n, width), or n byte strings where width is 0, whether each is near the row of other, which has n rows or one.
@@ -115,9 +115,9 @@ def _near_hub(batches: Iterator[pa.RecordBatch], width: int, near: Near) -> Iter
 
 def attached(rows: DataFrame, values: DataFrame, value_bytes: int = 50) -> DataFrame:
     """rows (key, node, ...) left-joined to values (key, n, ...), where n counts the rows of a key: by broadcast where values are few, else by a skew-safe shuffle."""
-    if values.count() * value_bytes <= MOST_BROADCAST:
+    if count(values) * value_bytes <= MOST_BROADCAST:
         return rows.join(F.broadcast(values.drop("n")), "key", "left")
-    return lookup(rows, "key", values, max(1, rows.count()), "node")
+    return lookup(rows, "key", values, max(1, count(rows)), "node")
 
 
 def links_of_groups(rows: DataFrame, near: Near, width: int) -> DataFrame:
@@ -142,7 +142,7 @@ def links_in_groups(rows: DataFrame, near: Near, width: int, block: int = 2048)
         return found.distinct()
     heavy = marked.filter("n_all is not null").select("key", "node", "data", "n_all", "size")
     hubs = checkpoint(heavy.groupBy("key").agg(F.min(F.struct("node", "data")).alias("h"), F.count("*").alias("n")).select("key", "n", F.col("h.node").alias("hub"), F.col("h.data").alias("hub_data")))
-    largest = hubs.agg(F.max(length("hub_data"))).first()[0]
+    largest = totals(hubs, F.max(length("hub_data")))[0]
     held = attached(heavy, hubs, 50 + largest).select("key", "node", "data", "n_all", "size", "hub", "hub_data")
     told = checkpoint(held.mapInArrow(lambda it: _near_hub(it, width, near), f"key bigint, node bigint, data {kind}, n_all bigint, size bigint, hub bigint, far boolean"))
     found = found.union(told.filter("not far and node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))

@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillspark.llm.common import checkpoint, python_stage, row_keys, table
+from quillspark.llm.common import checkpoint, count, python_stage, row_keys, table
 from quillspark.llm.components import connected_components, lookup
 from quillspark.llm.grouped import attached, links_of_groups
 from quillspark.llm.similar import signatures, similar_links
@@ -121,7 +121,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if similar:
         prints = signatures(prints)
     prints = checkpoint(prints.drop("text"))
-    total = prints.count()
+    total = count(prints)
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     edges = links(distinct.select("fp"))
     if similar:

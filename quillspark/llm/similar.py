@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from quillspark.llm.common import checkpoint, python_stage
+from quillspark.llm.common import checkpoint, count, python_stage
 from quillspark.llm.components import connected_components, lookup
 from quillspark.llm.grouped import attached, links_in_groups
 
@@ -108,5 +108,5 @@ def similar_links(rows: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     low = lambda end, name: sets.select(F.col("set_id").alias(end), F.col("low").alias(name))
     alike = found.join(low("a", "x"), "a").join(low("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     first = sets.filter("n > 1").select("set_id", "n", "low")
-    equal = lookup(rows.filter("set_id is not null").select("set_id", "fp", "doc_id"), "set_id", first, max(1, rows.count()), "doc_id").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    equal = lookup(rows.filter("set_id is not null").select("set_id", "fp", "doc_id"), "set_id", first, max(1, count(rows)), "doc_id").select(F.col("fp").alias("a"), F.col("low").alias("b"))
     return alike.union(equal.filter("a <> b").distinct())

@@ -1,8 +1,11 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import common
 from quillspark.llm.components import lookup
+from quillspark.llm.simhash import drop_near_duplicates
 from tests.llm.util import frame
 
 
@@ -39,6 +42,39 @@ def test_settings_of_the_session_stay(spark):
         spark.conf.set(key, before)
 
 
+def shuffle_files(spark):
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    every = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(env.blockManager().diskBlockManager().getAllFiles())
+    return {name for f in every if (name := f.getName()).startswith("shuffle_")}
+
+
+def left_over(spark, before):
+    """Shuffle files made since; they are removed in the background."""
+    end = time.time() + 10
+    while (found := shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.1)
+    return found
+
+
+def test_checkpoints_and_totals_leave_no_shuffle_files(spark):
+    df = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.count("*").alias("n"))
+    before, set_to = shuffle_files(spark), spark.conf.get(common.BRIEF, "false")
+    kept = common.checkpoint(df)
+    assert common.count(df) == 10 and tuple(common.totals(df, F.sum("n"), F.max("k"))) == (1000, 9)
+    assert not left_over(spark, before)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.collect())) == [(k, 100) for k in range(10)]
+    assert sorted(map(tuple, common.checkpoint(df).collect())) == sorted(map(tuple, df.collect()))  # df may run before and after
+    assert spark.conf.get(common.BRIEF, "false") == set_to
+
+
+def test_near_dedup_leaves_no_shuffle_files_of_its_steps(spark):
+    texts = [" ".join(f"{i // 3}w{j}" for j in range(300 + i % 3)) for i in range(30)]
+    docs, before = frame(spark, list(enumerate(texts))), shuffle_files(spark)
+    kept = drop_near_duplicates(docs)
+    assert not left_over(spark, before)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 30, 3))
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     class Context:
         master = "spark://host:7077"
