@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillspark.llm import bpe, decontaminate, pii, quality, simhash
-from quillspark.llm.common import remove, shared_dir, table
+from quillspark.llm.common import brief_shuffles, remove, shared_dir, table
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -63,7 +63,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_dir(spark, "stage-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        out = stage(spark, docs, sf_dir)
+        with brief_shuffles(spark):
+            out.write.parquet(path)
         docs = spark.read.parquet(path)
         if before:  # the stage's own table is whole, so the one it was made of is read no more
             remove(spark, before)

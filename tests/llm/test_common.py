@@ -3,10 +3,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillspark.llm import common
 from quillspark.llm.components import lookup
 from quillspark.llm.simhash import drop_near_duplicates
-from tests.llm.util import frame
+from tests.llm.util import frame, tables
 
 
 def test_unique_identifiers_are_the_numbers(spark):
@@ -50,7 +51,7 @@ def shuffle_files(spark):
 
 def left_over(spark, before):
     """Shuffle files made since; they are removed in the background."""
-    end = time.time() + 10
+    end = time.time() + 3
     while (found := shuffle_files(spark) - before) and time.time() < end:
         time.sleep(0.1)
     return found
@@ -75,6 +76,16 @@ def test_near_dedup_leaves_no_shuffle_files_of_its_steps(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 30, 3))
 
 
+def test_written_rows_and_stages_leave_no_shuffle_files(spark, tmp_path, monkeypatch):
+    sf = tables(spark, tmp_path, documents=frame(spark, [(5, "a"), (5, "b"), (None, "a")]))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"dealt {i}", lambda spark, docs, sf_dir: docs.repartition(3, "text")) for i in range(2)])
+    before = shuffle_files(spark)
+    keyed, plain = common.row_keys(spark.read.parquet(f"{sf}/documents.parquet"))
+    docs = corpus_pipeline.run(spark, sf)
+    assert not left_over(spark, before)
+    assert not plain and keyed.count() == docs.count() == 3
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     class Context:
         master = "spark://host:7077"
